@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrobora.operators.packed import learn_lattice, unpack
 from corrobora.operators.periods import continuous_periods
 from corrobora.session import table
 
@@ -47,8 +48,13 @@ SELECT record_id, 'gap', CAST((e + 1) // 12 * 100 + (e + 1) % 12 + 1 AS INT), CA
 """
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "t1_ats").select("record_id", "skills").unionByName(table(spark, d, "ats").select("record_id", "skills"))
+    return unpack(rows, "skills", ["record_id"], "skill", learn_lattice(rows, "skills"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
