@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corrobora.llm import groups, survivor, tokens
+from corrobora.llm import canonical, drift, groups, survivor, tokens
 from corrobora.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.candidate_terms(table(spark, d, "t1_ats"), table(spark, d, "skill_aliases"), table(spark, d, "country_aliases"), table(spark, d, "ats"))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Per field, how many values have an entry and how many have none."""
+    return p4_found(spark, d).groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("canonical") == canonical.UNMATCHED).alias("n_unmatched"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.match_groups(table(spark, d, "match_pairs"))
 
@@ -76,12 +86,24 @@ SELECT cluster_id, {", ".join(f"max(v) FILTER (WHERE field_path = '{c}') AS {c}"
 """
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "ats_drops")).select("file_name", "change_kind", "field_name", "new_name")
+
+
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    drops = table(spark, d, "ats_drops")
+    return drift.consistent_table(drops, drift.schema_changes(drops))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden, "p8_ids": p8_ids}
+    return {
+        "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
+        "p7_found": p7_found, "p7_table": p7_table, "p8_ids": p8_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
