@@ -223,6 +223,14 @@ def split_values(text: str | None, lattice: Lattice) -> list[str]:
     return [v for v in map(cleaned, parts) if v is not None]
 
 
+def _segmented(lattice: Lattice):  # noqa: ANN202
+    @F.pandas_udf("array<string>")
+    def segmented(s: pd.Series) -> pd.Series:
+        return pd.Series([[value_key(v) for p in lattice.split(c) if (v := cleaned(p)) is not None] for c in s], dtype=object)
+
+    return segmented
+
+
 def learn_lattice(texts: DataFrame, column: str, rounds: int = 4) -> dict[str, float]:
     """Value frequencies of the whole column by expectation maximisation.
 
@@ -242,7 +250,7 @@ def learn_lattice(texts: DataFrame, column: str, rounds: int = 4) -> dict[str, f
                     if v is not None:
                         row.append({"k": c, "open": True} if not atomic and len(_weak_pieces(c)) > 1 else {"k": value_key(v), "open": False})
                 rows.append(row)
-            yield pd.Series(rows)
+            yield pd.Series(rows, dtype=object)
 
     distinct = texts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     parts = cut(distinct.select("n", F.explode(lexed(column)).alias("x")).groupBy("x.k", "x.open").agg(F.sum("n").alias("n")))
@@ -254,13 +262,7 @@ def learn_lattice(texts: DataFrame, column: str, rounds: int = 4) -> dict[str, f
 
     found = dictionary(fixed)
     for _ in range(rounds):
-        lattice = Lattice(found)
-
-        @F.pandas_udf("array<string>")
-        def segmented(s: pd.Series, lattice: Lattice = lattice) -> pd.Series:
-            return pd.Series([[value_key(v) for p in lattice.split(c) if (v := cleaned(p)) is not None] for c in s])
-
-        again = ambiguous.select("n", F.explode(segmented("k")).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
+        again = ambiguous.select("n", F.explode(_segmented(Lattice(found))("k")).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
         new = dictionary(fixed.unionByName(again.select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")))
         if new == found:
             break
