@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import canonical, drift, groups, survivor, tokens
+from corrobora.llm import canonical, drift, groups, leaks, quality, survivor, tokens
 from corrobora.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,12 +99,57 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return leaks.item_report(leaks.leaked_items(table(spark, d, "documents"), items), items)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.non_prose(table(spark, d, "documents")).select("doc_id", "kind")
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"))
+
+
+#: Blanks of all kinds, for DuckDB's expressions.
+_BLANKS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+P10_STATS_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract(lower(trim(lang)), '^([a-z]+)', 1), '') AS lang, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, lang, CAST(length(t) AS INT) AS n_chars,
+        CAST(len(list_filter(string_split_regex(t, '[{_BLANKS}]+'), lambda w: w <> '')) AS INT) AS n_words,
+        length(regexp_replace(t, '[{_BLANKS}]+', '', 'g')) AS solid, length(regexp_replace(t, '[\p{{L}}\p{{N}}{_BLANKS}]+', '', 'g')) AS symbols,
+        list_filter(string_split_regex(t, '\r\n|\r|\n'), lambda s: regexp_matches(s, '[^{_BLANKS}]')) AS ls FROM t)
+SELECT doc_id, lang, n_chars, n_words, round(CASE WHEN n_words > 0 THEN solid / n_words ELSE 0 END, 6) AS mean_word_length,
+  round(CASE WHEN solid > 0 THEN symbols / solid ELSE 0 END, 6) AS symbol_ratio,
+  round(CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda s: regexp_matches(s, '[.!?…。！？]["''”»)）]*\s*$'))) / len(ls) ELSE 0 END, 6) AS line_end_ratio FROM n
+"""
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    stats = quality.text_statistics(table(spark, d, "documents"))
+    scores = quality.outlier_scores(stats, "doc_id", "lang", ["n_words", "mean_word_length", "symbol_ratio", "line_end_ratio"])
+    return scores.select("doc_id", (F.round("score", 3) + 0.0).alias("score"), "pool")
+
+
+_TAILS = " + ".join(
+    f"-ln(least(1.0, 2 * least(cume_dist() OVER (PARTITION BY lang ORDER BY {c}), cume_dist() OVER (PARTITION BY lang ORDER BY {c} DESC))))"
+    for c in ("n_words", "mean_word_length", "symbol_ratio", "line_end_ratio")
+)
+P10_SCORES_SQL = f"WITH s AS ({P10_STATS_SQL}) SELECT doc_id, round(round(0.0 + {_TAILS}, 6), 3) + 0.0 AS score, count(*) OVER (PARTITION BY lang) AS pool FROM s"
+
+
 def queries() -> dict[str, Query]:
     return {
         "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
         "p7_found": p7_found, "p7_table": p7_table, "p8_ids": p8_ids,
+        "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_stats": p10_stats, "p10_scores": p10_scores,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p6_found": P6_SQL, "p6_golden": P6_GOLDEN_SQL}
+    return {"p5_found": P5_SQL, "p6_found": P6_SQL, "p6_golden": P6_GOLDEN_SQL, "p10_stats": P10_STATS_SQL, "p10_scores": P10_SCORES_SQL}
