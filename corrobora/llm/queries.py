@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import canonical, drift, groups, leaks, quality, survivor, tokens
+from corrobora.llm import canonical, drift, groups, leaks, linkage, quality, survivor, tokens
 from corrobora.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p1_found with their confidence."""
+    return linkage.linked_people(linkage.ats_people(table(spark, d, "t1_ats")), linkage.roster_people(table(spark, d, "t1_roster")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).select(F.col("left_id").alias("ats_record_id"), F.col("right_id").alias("roster_record_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.candidate_terms(table(spark, d, "t1_ats"), table(spark, d, "skill_aliases"), table(spark, d, "country_aliases"), table(spark, d, "ats"))
 
@@ -145,7 +154,7 @@ P10_SCORES_SQL = f"WITH s AS ({P10_STATS_SQL}) SELECT doc_id, round(round(0.0 +
 
 def queries() -> dict[str, Query]:
     return {
-        "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
+        "p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
         "p7_found": p7_found, "p7_table": p7_table, "p8_ids": p8_ids,
         "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_stats": p10_stats, "p10_scores": p10_scores,
     }
