@@ -53,8 +53,21 @@ def resolve(steps: tuple[Step, ...], root: Column | None = None) -> Column:
     return resolve(rest, c) if rest else c
 
 
-def _short(c: Column) -> Column:
-    return F.when(F.length(c) > 80, F.concat(F.substring(c, 1, 77), F.lit("..."))).otherwise(c)
+def failure(name: str, array: bool) -> object:
+    """Why a value doesn't normalize: the value as text, and the reason with the first element that fails; null if it does."""
+    f = SCALARS[name]
+
+    @F.pandas_udf("struct<raw_value:string,reason:string>")
+    def udf(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in s:
+            items = [] if v is None else list(v) if array else [v]
+            bad = next((x for x in items if f(x) is None), None)
+            text = str(items if array else v)
+            out.append((None, None) if bad is None else (text if len(text) <= 80 else f"{text[:77]}...", f"{REASONS[name]}{bad!r}"))
+        return pd.DataFrame(out, columns=["raw_value", "reason"], dtype=object)
+
+    return udf
 
 
 def provenance(query: Query) -> Column:
@@ -92,9 +105,8 @@ def project(profiles: DataFrame, query: Query) -> tuple[DataFrame, DataFrame, Da
         raw = c = resolve(f.steps)
         if f.normalize:
             c = normalizer(f.normalize, f.type.endswith(ALL))(raw)
-            text = F.to_json(raw) if f.type.endswith(ALL) else raw.cast("string")
-            failed = raw.isNotNull() & c.isNull()
-            notes.append(F.when(failed, F.struct(F.lit(f.path).alias("field"), _short(text).alias("raw_value"), F.concat(F.lit(REASONS[f.normalize]), F.lit("'"), text, F.lit("'")).alias("reason"))))
+            why = failure(f.normalize, f.type.endswith(ALL))(raw)
+            notes.append(F.when(raw.isNotNull() & why["reason"].isNotNull(), F.struct(F.lit(f.path).alias("field"), why["raw_value"].alias("raw_value"), why["reason"].alias("reason"))))
         found.append((f.out, c))
         if f.required or query.on_missing == "error":
             errors.append(F.when(c.isNull(), F.struct(F.lit(f.path).alias("field"), F.lit("required_missing" if f.required else "missing").alias("problem"))))
