@@ -66,19 +66,18 @@ class Identity:
     record_flags: DataFrame
 
 
-_RESULT = "what string, id string, cluster string, keys array<string>, records array<string>, key string, rank int, other string, reason string"
+_RESULT = "array<struct<what:string,id:string,cluster:string,keys:array<string>,records:array<string>,key:string,rank:int,other:string,reason:string>>"
 
 
-def _guarded(pdf: pd.DataFrame) -> pd.DataFrame:
+def _guarded(rows: list[dict]) -> list[dict]:
     """Unions within one component: keys by strength and value; of a key the smallest record is compared with each other one."""
-    names = {r: [name_tokens(n) for n in ns] for r, ns in zip(pdf["record_id"], pdf["names"], strict=True)}
+    names = {r["record_id"]: [name_tokens(n) for n in r["names"]] for r in rows}
     home = {r: r for r in names}
     members: dict[str, list[str]] = {r: [r] for r in names}
     used: dict[str, set[str]] = {r: set() for r in names}
     groups: dict[tuple[int, str, str], set[str]] = {}
-    for r, kind, key in zip(pdf["record_id"], pdf["kind"], pdf["key"], strict=True):
-        if kind is not None:
-            groups.setdefault((STRENGTH[kind], key, kind), set()).add(r)
+    for r in rows:
+        groups.setdefault((STRENGTH[r["kind"]], r["key"], r["kind"]), set()).add(r["record_id"])
     out = []
     for (rank, key, kind), group in sorted(groups.items()):
         base, *others = sorted(group)
@@ -94,10 +93,19 @@ def _guarded(pdf: pd.DataFrame) -> pd.DataFrame:
                 members[keep] += members.pop(gone)
                 used[keep] |= used.pop(gone) | {label}
             else:
-                out.append(("refusal", None, None, None, sorted((a, b)), label, rank, other, "suspect_shared_identifier"))
+                out.append({"what": "refusal", "records": sorted((a, b)), "key": label, "rank": rank, "other": other, "reason": "suspect_shared_identifier"})
     for root, ids in members.items():
-        out += [("member", r, root, sorted(used[root]), None, None, None, None, None) for r in ids]
-    return pd.DataFrame(out, columns=["what", "id", "cluster", "keys", "records", "key", "rank", "other", "reason"], dtype=object)
+        out += [{"what": "member", "id": r, "cluster": root, "keys": sorted(used[root])} for r in ids]
+    empty = dict.fromkeys(("what", "id", "cluster", "keys", "records", "key", "rank", "other", "reason"))
+    return [empty | r for r in out]
+
+
+def _guarded_all(rows: str) -> Column:
+    @F.pandas_udf(_RESULT)
+    def udf(components: pd.Series) -> pd.Series:
+        return pd.Series([_guarded(list(c)) for c in components], dtype=object)
+
+    return udf(rows)
 
 
 def resolve(atoms: DataFrame) -> Identity:
@@ -114,7 +122,8 @@ def resolve(atoms: DataFrame) -> Identity:
     comp = min_label_components(shared.select("record_id", F.concat_ws(":", "kind", "key").alias("hub")), "record_id", "hub")
     names = atoms.where(F.col("field_path") == "full_name").groupBy("record_id").agg(F.array_sort(F.collect_set("value")).alias("names"))
     rows = shared.join(comp, "record_id").join(names, "record_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    done = cut(rows.select("component", "record_id", "kind", "key", "names").groupBy("component").applyInPandas(_guarded, _RESULT))
+    each = rows.groupBy("component").agg(F.collect_list(F.struct("record_id", "kind", "key", "names")).alias("rows"))
+    done = cut(each.select(F.explode(_guarded_all("rows")).alias("x")).select("x.*"))
     grouped = done.where("what = 'member'").select(F.col("id").alias("record_id"), F.col("cluster").alias("cluster_id"), F.col("keys").alias("match_keys_used"))
     all_ = records.join(grouped, "record_id", "left").select("record_id", F.coalesce("cluster_id", "record_id").alias("cluster_id"), F.coalesce("match_keys_used", F.array().cast("array<string>")).alias("match_keys_used"))
     members = cut(all_)

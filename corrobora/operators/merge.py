@@ -67,9 +67,10 @@ def personal_site(url: Column, folded_name: Column) -> Column:
 
 
 _ENTRY = (
-    "cluster_id string, company string, title string, start string, end string, is_current boolean, summary string, confidence double, source_id string, method string, "
-    "s int, e int, reason string, raw_range string, first_order string"
+    "array<struct<company:string,title:string,start:string,end:string,is_current:boolean,summary:string,confidence:double,source_id:string,method:string,"
+    "s:int,e:int,reason:string,raw_range:string,first_order:string>>"
 )
+_ENTRY_FIELDS = ("company", "title", "start", "end", "is_current", "summary", "confidence", "source_id", "method", "s", "e", "reason", "raw_range", "first_order")
 
 
 def _same_post(a: dict, b: dict, as_of: dates.PartialDate) -> bool:
@@ -82,11 +83,11 @@ def _same_post(a: dict, b: dict, as_of: dates.PartialDate) -> bool:
     return bool(a["title"] and b["title"] and unaccent(a["title"]) == unaccent(b["title"]))
 
 
-def _posts(pdf: pd.DataFrame, as_of: dates.PartialDate | None) -> pd.DataFrame:
+def _posts(claims: list[dict], as_of: dates.PartialDate | None) -> list[dict]:
     """The entries of one person at one company: posts that are the same, directly or through others, become one."""
     rows = []
-    for r in pdf.sort_values("rank").itertuples():
-        x = json.loads(r.value)
+    for r in sorted(claims, key=lambda r: r["rank"]):
+        x = json.loads(r["value"])
         rows.append(x | {"start": tuple(x["start"]) if x["start"] else None, "end": tuple(x["end"]) if x["end"] else None, "row": r})
     group = list(range(len(rows)))
     for i in range(len(rows)):
@@ -94,11 +95,7 @@ def _posts(pdf: pd.DataFrame, as_of: dates.PartialDate | None) -> pd.DataFrame:
             if group[i] != group[j] and rows[i]["company"] and _same_post(rows[i], rows[j], as_of or (9999, 12)):
                 keep, gone = sorted((group[i], group[j]))
                 group = [keep if g == gone else g for g in group]
-    out = []
-    for g in sorted(set(group)):
-        posts = [x for x, k in zip(rows, group, strict=True) if k == g]
-        out.append((pdf["cluster_id"].iloc[0], *_entry(posts, as_of)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")], dtype=object)
+    return [dict(zip(_ENTRY_FIELDS, _entry([x for x, k in zip(rows, group, strict=True) if k == g], as_of), strict=True)) for g in sorted(set(group))]
 
 
 def _extreme(found: list, bound: str, pick) -> dates.PartialDate | None:  # noqa: ANN001
@@ -113,7 +110,7 @@ def _entry(posts: list[dict], as_of: dates.PartialDate | None) -> tuple:
     end = None if current else _extreme([p["end"] for p in posts], "end", max)
     strongest: dict[str, float] = {}
     for p in posts:
-        strongest[p["row"].source_id] = max(strongest.get(p["row"].source_id, 0.0), p["row"].strength)
+        strongest[p["row"]["source_id"]] = max(strongest.get(p["row"]["source_id"], 0.0), p["row"]["strength"])
     left = 1.0
     for s in sorted(strongest):
         left *= 1.0 - strongest[s]
@@ -128,8 +125,8 @@ def _entry(posts: list[dict], as_of: dates.PartialDate | None) -> tuple:
             e, reason = now, "future_end_clamped"
     best = posts[0]["row"]
     text = f"{pick('company')}: {dates.render(start)} -> {dates.render(end) or 'present'}" if reason else None
-    order = min(p["row"].pool for p in posts)
-    return pick("company"), pick("title"), dates.render(start), dates.render(end), current, pick("summary"), round(1.0 - left, 6), best.source_id, best.method, s, e, reason, text, order
+    order = min(p["row"]["pool"] for p in posts)
+    return pick("company"), pick("title"), dates.render(start), dates.render(end), current, pick("summary"), round(1.0 - left, 6), best["source_id"], best["method"], s, e, reason, text, order
 
 
 def merged_posts(atoms: DataFrame, as_of: dates.PartialDate | None) -> DataFrame:
@@ -143,7 +140,13 @@ def merged_posts(atoms: DataFrame, as_of: dates.PartialDate | None) -> DataFrame
         "cluster_id", "at", "value", "source_id", "strength", "pool", F.col("p.method").alias("method"),
         F.concat_ws("\u0001", F.format_string("%.6f", F.col("p.t") + 2), F.format_string("%.6f", F.col("p.r") + 2), "p.d", "p.source_id", "p.record_id", F.lpad(F.col("p.order_index").cast("string"), 9, "0"), "p.v").alias("rank"),
     )
-    return rows.groupBy("cluster_id", "at").applyInPandas(lambda _, pdf: _posts(pdf, as_of), _ENTRY)
+
+    @F.pandas_udf(_ENTRY)
+    def entries(groups: pd.Series) -> pd.Series:
+        return pd.Series([_posts(list(g), as_of) for g in groups], dtype=object)
+
+    each = rows.groupBy("cluster_id", "at").agg(F.collect_list(F.struct("value", "source_id", "strength", "pool", "method", "rank")).alias("claims"))
+    return each.select("cluster_id", F.explode(entries("claims")).alias("x")).select("cluster_id", "x.*")
 
 
 def merged_schools(atoms: DataFrame) -> DataFrame:

