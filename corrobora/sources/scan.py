@@ -36,10 +36,16 @@ class Scan:
 
 
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, source_type, content) of the files of a folder, or of one file."""
+    """(source_id, source_type, content) of the files of a folder, or of one file.
+
+    Spark reads no rows from empty files, so those come from the listing that the reader holds.
+    """
     f = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return f.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_id"), "content").withColumn("source_type", source_type(F.col("source_id")))
+    name = lambda c: F.url_decode(F.replace(F.element_at(F.split(c, "/"), -1), F.lit("+"), F.lit("%2B")))
+    read = f.select(name("path").alias("source_id"), "content")
+    listed = spark.createDataFrame([(x,) for x in f.inputFiles()], "path string").select(name("path").alias("source_id"))
+    empty = listed.join(f.select(name("path").alias("source_id")), "source_id", "left_anti").select("source_id", F.lit(b"").alias("content"))
+    return read.unionByName(empty).withColumn("source_type", source_type(F.col("source_id")))
 
 
 def scan(files: DataFrame, tools: Tools | None = None, strict: bool = False) -> Scan:
