@@ -97,6 +97,7 @@ class Dictionary:
         for a in self.plain:
             for d in deletions(a, bound(len(a))):
                 self.index.setdefault(d, set()).add(a)
+        self.longest = max(map(len, self.plain), default=0)
         self.memo: dict[str, str] = {}
 
     def _best(self, entries: set[str]) -> str:
@@ -112,6 +113,8 @@ class Dictionary:
     def near(self, text: str) -> str | None:
         """The entry that the text is but for a few edits."""
         b = bare(text)
+        if len(b) > self.longest + 2:
+            return None
         met = {a for d in deletions(b, min(2, bound(len(b) + 1))) for a in self.index.get(d, ())}
         found = []
         for a in met:

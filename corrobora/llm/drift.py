@@ -233,18 +233,18 @@ def schema_changes(drops: DataFrame) -> DataFrame:
     return rows(found, "added").unionByName(rows(lost, "removed")).unionByName(rows(renamed, "renamed", "a", F.col("b"))).unionByName(rows(changed, "type_changed"))
 
 
-def canonical_keys(drops: DataFrame, changes: DataFrame) -> dict[str, str]:
-    """Key to the most used key among those that renames tie together, for keys with a rename; at most MOST_KEYS of them."""
+def canonical_keys(drops: DataFrame, changes: DataFrame, prefer: tuple[str, ...] = ()) -> dict[str, str]:
+    """Key to one key among those that renames tie together, a preferred one first, then the most used; for keys with a rename, at most MOST_KEYS."""
     links = changes.where(F.col("change_kind") == "renamed").select("field_name", "new_name").distinct()
     tied = star_components(links, "field_name", "new_name")
     used = entries(drops).groupBy("key").count()
     rows = tied.join(used, tied["id"] == used["key"], "left").select("id", "group_id", F.coalesce("count", F.lit(0)).alias("n")).limit(MOST_KEYS + 1).collect()
     if len(rows) > MOST_KEYS:
         raise ValueError(f"more than {MOST_KEYS} renamed keys")
-    best: dict[str, tuple[int, str]] = {}
+    best: dict[str, tuple[bool, int, str]] = {}
     for r in rows:
-        best[r.group_id] = min(best.get(r.group_id, (1, "")), (-r.n, r.id))
-    return {r.id: best[r.group_id][1] for r in rows}
+        best[r.group_id] = min(best.get(r.group_id, (True, 1, "")), (r.id not in prefer, -r.n, r.id))
+    return {r.id: best[r.group_id][2] for r in rows}
 
 
 #: Fields of the consistent table and their types.
@@ -261,7 +261,7 @@ def consistent_table(drops: DataFrame, changes: DataFrame, target: dict[str, str
     numbers and packed skills lists. Unreadable lines give no row; a value that can't be cast is null.
     """
     target = target or TARGET
-    names = canonical_keys(drops, changes)
+    names = canonical_keys(drops, changes, tuple(target))
 
     @F.pandas_udf("struct<ok:boolean,fields:map<string,array<string>>,rest:string>")
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
