@@ -199,7 +199,7 @@ def test_drift(spark):
     t = drift.consistent_table(d, drift.schema_changes(d), target)
     rows = {(r.file_name, r.candidateref): r for r in t.where("feed = 'f' AND candidateref = 'C3'").collect()}
     assert {r.emailaddress for r in rows.values()} == {"p3@x.example"} and {tuple(r.skills) for r in rows.values()} == {("go", "s3")} and {r.years for r in rows.values()} == {3.0}
-    assert json.loads(rows["f4", "C3"].rest) == {"shift": False, "note": None}
+    assert json.loads(rows["f4", "C3"].rest) == {"shift": True, "note": None}
     assert drift.schema_changes(d.limit(0)).count() == 0
 
 
