@@ -49,7 +49,7 @@ SELECT id AS record_id, min(g) AS group_id FROM reach GROUP BY id
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    best = survivor.surviving_evidence(table(spark, d, "source_records"), table(spark, d, "evidence"), table(spark, d, "scoring_weights"))
+    best = survivor.surviving_evidence(table(spark, d, "source_records"), table(spark, d, "evidence"), table(spark, d, "scoring_weights"), with_value=False)
     return best.select("cluster_id", "field_path", "record_id", "order_index")
 
 

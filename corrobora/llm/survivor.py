@@ -74,26 +74,27 @@ def record_days(records: DataFrame) -> DataFrame:
 
 def _last(c: str) -> Column:
     """Ascending order with null last."""
-    return F.struct(F.col(c).isNull(), F.col(c))
+    return F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("v")).alias(c)
 
 
-def surviving_evidence(records: DataFrame, evidence: DataFrame, weights: DataFrame) -> DataFrame:
-    """(cluster_id, field_path, record_id, order_index, value): the evidence row that survives for each cluster and field.
+def surviving_evidence(records: DataFrame, evidence: DataFrame, weights: DataFrame, with_value: bool = True) -> DataFrame:
+    """(cluster_id, field_path, record_id, order_index[, value]): the evidence row that survives for each cluster and field.
 
     Order: for location the most non-null JSON parts; then trust, reliability, latest day of the record (unreadable or
     missing last), smallest source_id, record_id, order_index. Rows whose value is a null mark, and rows of records
     that are in no cluster, don't count; repeated rows are one; a null source_id or order_index comes last.
     The best row of a record is found before records and clusters meet, so a record or cluster with a large share of
-    all rows is folded by partial aggregates and never gathered.
+    all rows is folded by partial aggregates and never gathered. What is shuffled is the sort key itself, which ends with
+    the row's position and, only if asked for, its value.
     """
-    rank = [(-F.col("complete")).alias("c"), (-F.col("trust")).alias("t"), (-F.col("reliability")).alias("r")]
-    tail = [_last("source_id").alias("s"), F.col("record_id").alias("i"), _last("order_index").alias("o")]
-    row = F.struct("source_id", "order_index", "value", "trust", "reliability", "complete")
-    own = weighed(evidence, weights).groupBy("record_id", "field_path").agg(F.min_by(row, F.struct(*rank, *tail)).alias("e")).select("record_id", "field_path", "e.*")
+    rank = [(-F.col("complete")).cast("short").alias("c"), (-F.col("trust")).cast("float").alias("t"), (-F.col("reliability")).cast("float").alias("r")]
+    payload = [F.col("value")] if with_value else []
+    own = weighed(evidence, weights).groupBy("record_id", "field_path").agg(F.min(F.struct(*rank, _last("source_id"), _last("order_index"), *payload)).alias("e"))
     met = own.join(record_days(records), "record_id")
     day = F.coalesce(-F.unix_date("day"), F.lit(2**31 - 1)).alias("d")
-    best = F.struct("record_id", "order_index", "value")
-    return met.groupBy("cluster_id", "field_path").agg(F.min_by(best, F.struct(*rank, day, *tail)).alias("e")).select("cluster_id", "field_path", "e.*")
+    key = F.struct("e.c", "e.t", "e.r", day, "e.source_id", "record_id", "e.order_index", *([F.col("e.value")] if with_value else []))
+    best = met.groupBy("cluster_id", "field_path").agg(F.min(key).alias("e"))
+    return best.select("cluster_id", "field_path", "e.record_id", F.col("e.order_index.v").alias("order_index"), *(["e.value"] if with_value else []))
 
 
 def golden_records(records: DataFrame, evidence: DataFrame, weights: DataFrame, fields: list[str], as_of: str, half_life_days: int = 365) -> DataFrame:
