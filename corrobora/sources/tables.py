@@ -30,14 +30,13 @@ def _skill_json(aliases: dict[str, str] | None):  # noqa: ANN202
 
 def _atoms(rows: DataFrame, kind: str, updated: Column, fields: list[tuple[str, Column, Column, str]]) -> DataFrame:
     """Long form: fields are (path, values as an array, raw text, method); an empty array gives no atom."""
-    items = [F.transform(F.coalesce(values, F.array().cast("array<string>")), _item(path, raw, method, i)) for i, (path, values, raw, method) in enumerate(fields)]
+    items = [F.transform(F.coalesce(values, F.array().cast("array<string>")), _item(path, raw, method)) for path, values, raw, method in fields]
     long = rows.select("source_id", F.lit(kind).alias("source_type"), "record_id", updated.alias("updated_at"), F.posexplode(F.flatten(F.array(*items))).alias("order_index", "a"))
     normal = F.col("a.field_path") != "phones_raw"
     return long.select("source_id", "source_type", "record_id", "updated_at", "a.field_path", "a.value", "a.raw_value", "a.method", "order_index", normal.alias("normalized"), F.lit(None).cast("string").alias("locator"))
 
 
-def _item(path: str, raw: Column, method: str, order: int):  # noqa: ANN202
-    del order
+def _item(path: str, raw: Column, method: str):  # noqa: ANN202
     return lambda v: F.struct(F.lit(path).alias("field_path"), v.alias("value"), raw.alias("raw_value"), F.lit(method).alias("method"))
 
 

@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from corrobora.operators import periods as P
 
 LINKEDIN = "record_id string, pos int, companyname string, title string, start_year int, start_month int, end_year int, end_month int, iscurrent boolean, kind string"
@@ -60,4 +58,3 @@ def test_plan_folds_before_it_shuffles(spark):
     df = spark.createDataFrame([("a", 1, 2)], "record_id string, s int, e int")
     plan = P.merge_periods(df)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "MergingSessions" in plan
-    assert F is not None
