@@ -19,8 +19,6 @@ from corrobora.session import cut
 COMMON_SHARE = 0.05
 #: Languages with fewer than this share of the documents are ranked together: so there are at most 1 / share languages.
 LANGUAGE_SHARE = 0.005
-#: Documents with less than this score are in the middle of every statistic; pools with fewer documents are too small to rank.
-OUTLIER, SMALL_POOL = 0.5, 50
 OTHER = "other"
 STATISTICS = ["n_words", "mean_word_length", "symbol_ratio", "line_end_ratio", "common_ratio", "list_share", "table_share", "junk_share"]
 
@@ -134,8 +132,7 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang:
 def non_prose(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, kind, score): the texts most of which is a list, a table or junk.
 
-    Candidates are the outliers among their language's texts (all texts of a pool too small to rank); of these, the layout
-    of the whole text decides. Null and blank texts are left out.
+    The layout of the whole text alone decides; score says how far out the text lies and leaves none out, as copies that make
+    up half of a pool lie in its middle. Null and blank texts are left out.
     """
-    q = quality(documents, key, text, lang)
-    return q.where(F.col("kind").isNotNull() & ((F.col("score") >= OUTLIER) | (F.col("pool") < SMALL_POOL))).select(key, "kind", "score")
+    return quality(documents, key, text, lang).where(F.col("kind").isNotNull()).select(key, "kind", "score")

@@ -142,6 +142,14 @@ def test_quality_operator(spark):
     assert quality.non_prose(df.limit(0)).count() == 0
 
 
+def test_copies_that_fill_a_pool_are_kept(spark):
+    rows = [(i, PROSE.replace("32", str(i)), "en") for i in range(60)] + [(100 + i, KINDS[("junk", "list", "table")[i // 90]], ("ja", "fr", None)[i // 90]) for i in range(270)]
+    rows += [(500 + i, PROSE.replace("32", str(i)), ("ja", "fr", None)[i % 3]) for i in range(30)]
+    got = {r.doc_id: (r.kind, r.score) for r in quality.non_prose(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {100 + i: ("junk", "list", "table")[i // 90] for i in range(270)}
+    assert all(s == 0 for _, s in got.values())
+
+
 def test_ranks_against_brute_force(spark):
     rows = [(i, "ab"[i % 3 == 0], float(i % 7 if i % 2 else 0)) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id bigint, g string, v double")
