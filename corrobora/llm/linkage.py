@@ -21,8 +21,8 @@ from corrobora.session import cut
 
 #: An address or number that this many different records carry is context, like an employer: it only counts together with names.
 CONTEXT = 12
-#: Larger blocks of people who agree in names and context are compared with their first member only; groups join the rest.
-STAR = 200
+#: Larger blocks are compared in tiles of two slices of about this many people, so all pairs meet and no task holds a block.
+SLICE = 200
 #: A pair is kept if its weight is at least this share of the heaviest pair of either of its records.
 KEEP = 0.25
 #: Log odds from which a pair is a match, and what a confident neighbour adds to a pair of its group.
@@ -141,13 +141,26 @@ def signatures(context: Column) -> Column:
     return F.when((F.size(name) >= 2) & (context != ""), keys).otherwise(F.array().cast("array<string>"))
 
 
+def tiled(blocks: DataFrame) -> DataFrame:
+    """(x, y, w): every pair of nodes of a block once, x < y. blocks: k, node, size, w.
+
+    A block falls into slices of about SLICE nodes by hash; each two slices, and each slice with itself, are a tile.
+    """
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    own = blocks.select("k", "node", "w", slices.alias("n")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    at = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = at.select("k", "w", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a, b = at.withColumnsRenamed({"node": "x", "own": "ox"}), at.drop("w").withColumnsRenamed({"node": "y", "own": "oy"})
+    met = a.join(b, ["k", "i", "j"]).where((F.col("x") < F.col("y")) & ((F.col("i") == F.col("j")) | (F.col("ox") != F.col("oy"))))
+    return met.select("x", "y", "w")
+
+
 def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """(x, y, weight): pairs of nodes that share an attribute, x < y, heavier the rarer what they share, pruned by meta-blocking.
 
     nodes: node, name, mail, phone, employer, one per distinct person description. Identifiers that more than CONTEXT nodes
     carry, and employers, are no blocks by themselves: nobody is the same person by an employer or a shared mailbox alone,
-    so they are joined with both names first and lose no match. A block of more than STAR people who agree in names and
-    context gives one pair each, with its first member, not all pairs.
+    so they are joined with both names first and lose no match. All pairs of a block meet, however large it is.
     """
     own = nodes.select("node", "name", F.explode(F.array_distinct(F.concat(*identifiers()))).alias("k"))
     counts = own.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -157,13 +170,10 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     work = nodes.select("node", F.explode(signatures(F.concat(F.lit("c:"), F.col("employer")))).alias("k")).where(~F.col("k").contains(":c:|"))
     keys = cut(strong.unionByName(shared).unionByName(work).distinct())
     total = nodes.count()
-    sizes = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    sizes = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     at = lookup(keys, sizes.withColumn("size", F.col("n")), ["k"], "n", keys.count(), "inner").where(F.col("size").isNotNull())
     blocks = at.withColumn("w", F.log(F.lit(float(max(total, 2))) / F.col("size")) + 0.1)
-    small = blocks.where(F.col("size") <= STAR)
-    met = small.select("k", "w", F.col("node").alias("x")).join(small.select("k", F.col("node").alias("y")), "k").where(F.col("x") < F.col("y")).select("x", "y", "w")
-    star = blocks.where((F.col("size") > STAR) & (F.col("node") != F.col("first"))).select(F.col("first").alias("x"), F.col("node").alias("y"), "w")
-    pairs = met.unionByName(star).groupBy("x", "y").agg(F.sum("w").alias("weight"))
+    pairs = tiled(blocks).groupBy("x", "y").agg(F.sum("w").alias("weight"))
     pairs = cut(pairs)
     top = pairs.select("x", "weight").unionByName(pairs.select(F.col("y").alias("x"), "weight")).groupBy("x").agg(F.max("weight").alias("top"))
     at = pairs.join(top.withColumnRenamed("top", "tx"), "x").join(top.select(F.col("x").alias("y"), F.col("top").alias("ty")), "y")

@@ -41,6 +41,20 @@ def test_copies_and_shared_mailboxes(spark):
     assert {a for a, r in got if r == "r2"} == {"x008"}
 
 
+def test_large_blocks_meet_in_full(spark):
+    blocks = spark.createDataFrame([("big", f"n{i:03d}", 450, 1.0) for i in range(450)] + [("small", f"n{i:03d}", 3, 2.0) for i in range(3)], "k string, node string, size bigint, w double")
+    got = sorted((r.x, r.y, r.w) for r in linkage.tiled(blocks).collect())
+    assert got == sorted([(f"n{i:03d}", f"n{j:03d}", 1.0) for j in range(450) for i in range(j)] + [(f"n{i:03d}", f"n{j:03d}", 2.0) for j in range(3) for i in range(j)])
+
+
+def test_matches_inside_a_large_block_are_found(spark):
+    given = [f"J{a}{b}{c}{d}" for a in "bdfg" for b in "aeiou" for c in "klmn" for d in "aeiou"]
+    crowd = [(f"c{i:03d}", f"{g} Smith", f"{g.lower()}.smith{i:03d}@post.example", None, f"555 {i * 7919 % 1000:03d} {i * 104729 % 10000:04d}", "Kite Labs") for i, g in enumerate(given)]
+    ats = [*crowd, ("a1", "Johnny Smith", "johnny.smith9zq@post.example", None, None, "Kite Labs")]
+    got = linked(spark, ats, [("r1", "Jhonnz Smith", None, "555 321 6540", "Kite Labs"), ("r2", "Johnny Smith", None, None, None)])
+    assert ("a1", "r1") in got and not any(r == "r2" for _, r in got)
+
+
 def test_empty_people(spark):
     assert linked(spark, [], []) == {} and linked(spark, [("a", "A B", "a.b1@x.example", None, None, None)], []) == {}
 
