@@ -19,7 +19,7 @@ from corrobora.operators.packed import edits
 from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
-#: An address or number that this many different records carry is context, like an employer: it only counts together with names.
+#: An address or number that more different family names than this share is context, like an employer: it only counts together with names.
 CONTEXT = 12
 #: Larger blocks are compared in tiles of two slices of about this many people, so all pairs meet and no task holds a block.
 SLICE = 200
@@ -155,25 +155,46 @@ def tiled(blocks: DataFrame) -> DataFrame:
     return met.select("x", "y", "w")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
+def short_met(blocks: DataFrame) -> DataFrame:
+    """(x, y, w): every pair of nodes of a block of which at least one is short, once, x < y. blocks: k, node, short, size, w.
+
+    Short nodes go to each slice of the block; the others stay in theirs.
+    """
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    own = blocks.select("k", "node", "short", "w", slices.alias("n"))
+    a = own.where("short").select("k", F.col("node").alias("a"), "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    b = own.select("k", F.col("node").alias("b"), "short", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("i"))
+    met = a.join(b, ["k", "i"]).where((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~F.col("short")))
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "w")
+
+
+def candidate_pairs(nodes: DataFrame, own: DataFrame) -> DataFrame:
     """(x, y, weight): pairs of nodes that share an attribute, x < y, heavier the rarer what they share, pruned by meta-blocking.
 
-    nodes: node, name, mail, phone, employer, one per distinct person description. Identifiers that more than CONTEXT nodes
-    carry, and employers, are no blocks by themselves: nobody is the same person by an employer or a shared mailbox alone,
-    so they are joined with both names first and lose no match. All pairs of a block meet, however large it is.
+    nodes: node, name, mail, phone, employer, one per distinct person description; own: the same with own_identifiers only.
+    Identifiers that more than CONTEXT family names share, and employers, are no blocks by themselves: nobody is the same
+    person by an employer or a shared mailbox alone, so they are joined with both names first. Who has fewer than two names
+    meets everybody with the shared identifier, and ends of own mailboxes are blocks whoever else has them. All pairs of a
+    block meet, however large it is.
     """
-    own = nodes.select("node", "name", F.explode(F.array_distinct(F.concat(*identifiers()))).alias("k"))
-    counts = own.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    counted = lookup(own, counts.withColumn("size", F.col("n")), ["k"], "n")
-    strong = counted.where(F.col("size") <= CONTEXT).select("node", "k")
-    shared = counted.where(F.col("size") > CONTEXT).select("node", F.explode(signatures(F.col("k"))).alias("k"))
+    last = F.coalesce(F.get("name", F.size("name") - 1), F.lit(""))
+    had = nodes.select("node", "name", last.alias("last"), F.explode(F.array_distinct(F.concat(*identifiers()))).alias("k"))
+    counts = had.groupBy("k", "last").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"))
+    counted = cut(lookup(had, counts, ["k"], "n"))
+    strong = counted.where(F.col("names") <= CONTEXT).select("node", "k")
+    context = counted.where(F.col("names") > CONTEXT)
+    ends = own.select("node", F.explode(identifiers()[1]).alias("k")).join(context.select("node", "k"), ["node", "k"], "left_semi").select("node", F.concat(F.lit("o"), "k").alias("k"))
+    shared = context.select("node", F.explode(signatures(F.col("k"))).alias("k"))
     work = nodes.select("node", F.explode(signatures(F.concat(F.lit("c:"), F.col("employer")))).alias("k")).where(~F.col("k").contains(":c:|"))
-    keys = cut(strong.unionByName(shared).unionByName(work).distinct())
+    keys = cut(strong.unionByName(ends).unionByName(shared).unionByName(work).distinct())
     total = nodes.count()
+    weight = F.log(F.lit(float(max(total, 2))) / F.col("size")) + 0.1
     sizes = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     at = lookup(keys, sizes.withColumn("size", F.col("n")), ["k"], "n", keys.count(), "inner").where(F.col("size").isNotNull())
-    blocks = at.withColumn("w", F.log(F.lit(float(max(total, 2))) / F.col("size")) + 0.1)
-    pairs = tiled(blocks).groupBy("x", "y").agg(F.sum("w").alias("weight"))
+    short = context.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.size("name") < 2).alias("n_short")).where("n_short > 0")
+    around = lookup(context.select("node", "k", (F.size("name") < 2).alias("short")), short.select("k", "size", F.col("size").alias("n")), ["k"], "n").where(F.col("size").isNotNull())
+    blocks = at.withColumn("w", weight)
+    pairs = tiled(blocks).unionByName(short_met(around.withColumn("w", weight))).groupBy("x", "y").agg(F.sum("w").alias("weight"))
     pairs = cut(pairs)
     top = pairs.select("x", "weight").unionByName(pairs.select(F.col("y").alias("x"), "weight")).groupBy("x").agg(F.max("weight").alias("top"))
     at = pairs.join(top.withColumnRenamed("top", "tx"), "x").join(top.select(F.col("x").alias("y"), F.col("top").alias("ty")), "y")
@@ -321,7 +342,7 @@ def linked_people(left: DataFrame, right: DataFrame) -> DataFrame:
     nodes = all_.groupBy("node").agg(*[F.first(c).alias(c) for c in ("name", "mail", "phone", "employer")])
     nodes = cut(nodes.where((F.size("name") > 0) | (F.size("mail") > 0) | (F.size("phone") > 0)))
     own = cut(own_identifiers(nodes))
-    edges = scored(candidate_pairs(nodes), own)
+    edges = scored(candidate_pairs(nodes, own), own)
     final = cut(refined(edges))
     sure = final.where(F.col("s") >= MATCH)
     comp = sure.select(F.col("x").alias("node"), F.col("gx").alias("g")).unionByName(sure.select(F.col("y").alias("node"), F.col("gy").alias("g"))).distinct()

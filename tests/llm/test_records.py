@@ -55,6 +55,25 @@ def test_matches_inside_a_large_block_are_found(spark):
     assert ("a1", "r1") in got and not any(r == "r2" for _, r in got)
 
 
+def test_one_address_with_many_spellings(spark):
+    spellings = [(f"a{i:02d}", ("Mira Solano", "Solano", None)[i % 3], "mira.solano4k2@post.example", None, f"555 064 {i * 317 % 10000:04d}", f"Kite {chr(97 + i) * 5}") for i in range(20)]
+    others = [(f"x{i:03d}", None, None, None, f"555 {i * 7919 % 1000:03d} {i * 104729 % 10000:04d}", None) for i in range(300)]
+    got = linked(spark, spellings + others, [("r1", "Solano", "mira.solano4k2@post.example", None, None), ("r2", None, "mira.solano4k2@post.example", None, None)])
+    assert set(got) == {(a[0], r) for a in spellings for r in ("r1", "r2")}
+
+
+def test_single_names_with_a_shared_mailbox_meet(spark):
+    staff = [(f"a{i:02d}", f"{n} {m}", "jobs@agency.example", None, None, "Kite Labs") for i, (n, m) in enumerate((n, m) for n in ("Ola", "Bex") for m in ("Karro", "Lindo", "Munto", "Nerva", "Ostra", "Palto", "Quell", "Rasku", "Tembo", "Uvaro", "Velda", "Wixom", "Yensk", "Zonta"))]
+    got = linked(spark, [*staff, ("b1", "Bex Hollin", "jobs@agency.example", None, "555 064 0074", "Kite Labs")], [("r1", "Hollin", "jobs@agency.example", "555 064 0075", "Kite Labs"), ("r2", "Karro", "jobs@agency.example", None, "Kite Labs")])
+    assert set(got) == {("b1", "r1")}
+
+
+def test_short_nodes_meet_each_node_once(spark):
+    blocks = spark.createDataFrame([("k", f"n{i:03d}", i % 100 == 7, 450, 1.0) for i in range(450)], "k string, node string, short boolean, size bigint, w double")
+    got = sorted((r.x, r.y) for r in linkage.short_met(blocks).collect())
+    assert got == sorted((f"n{i:03d}", f"n{j:03d}") for j in range(450) for i in range(j) if 7 in (i % 100, j % 100))
+
+
 def test_empty_people(spark):
     assert linked(spark, [], []) == {} and linked(spark, [("a", "A B", "a.b1@x.example", None, None, None)], []) == {}
 
