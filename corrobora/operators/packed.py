@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.values import NULL_MARKS
 from corrobora.operators.layout import spread
+from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
 #: Delimiters that always end a value outside quotes and parentheses.
@@ -24,7 +25,7 @@ _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 _OPEN, _CLOSE = "(（[", ")）]"
 _BULLET = re.compile(r"^(?:[-*–]\s+|\(?\d{1,3}[.)]\s+)+")
 _VERSION = re.compile(r"\s+v?\d+(?:\.(?:\d+|x))*$")
-#: A value is in the dictionary if it is at least this share of all values: so the dictionary has at most 1 / share entries.
+#: A value is in the dictionary if it is at least this share of all values: so the dictionary has at most 1 / share entries. Rarer ones stay in a table.
 MIN_SHARE = 1e-4
 #: Log probabilities of a value outside the dictionary: to be one at all, of each of its characters, and of each edit that leads from it to an entry.
 UNSEEN, PER_CHAR, PER_EDIT = math.log(0.2), math.log(1 / 20), math.log(1e-3)
@@ -164,15 +165,19 @@ class Lattice:
     """Most likely split of a chunk at its weak delimiters under learned value frequencies."""
 
     def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) or 1.0
-        self.p = {k: math.log(n / total) for k, n in counts.items()}
+        self.total = getattr(counts, "total", 0.0) or sum(counts.values()) or 1.0
+        self.p = {k: math.log(n / self.total) for k, n in counts.items()}
         self.joined = [k for k in self.p if WEAK.search(k)]
         self.memo: dict[str, float] = {}
 
-    def score(self, value: str) -> float:
+    def score(self, value: str, rare: dict[str, float] | None = None) -> float:
         k = value_key(value)
         if k in self.p:
             return self.p[k]
+        n = rare.get(k) if rare else None
+        return max(self.outside(k), math.log(n / self.total)) if n else self.outside(k)
+
+    def outside(self, k: str) -> float:
         if k in self.memo:
             return self.memo[k]
         best = UNSEEN + PER_CHAR * len(k)
@@ -188,14 +193,15 @@ class Lattice:
         self.memo[k] = best
         return best
 
-    def split(self, chunk: str) -> list[str]:
+    def split(self, chunk: str, rare: dict[str, float] | None = None) -> list[str]:
+        """rare: the counts of those pieces of chunk that are too rare for the dictionary."""
         pieces = _weak_pieces(chunk)
         n = len(pieces) // 2 + 1
         if n == 1 or chunk.strip().lower() in NULL_MARKS:
             return [chunk]
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, n + 1):
-            best.append(max(((best[a][0] + self.score("".join(pieces[2 * a : 2 * end - 1])), a) for a in range(end)), key=lambda x: (x[0], x[1])))
+            best.append(max(((best[a][0] + self.score("".join(pieces[2 * a : 2 * end - 1]), rare), a) for a in range(end)), key=lambda x: (x[0], x[1])))
         out, end = [], n
         while end:
             a = best[end][1]
@@ -216,27 +222,62 @@ def _weak_pieces(chunk: str) -> list[str]:
     return [*out, chunk[at:]]
 
 
-def split_values(text: str | None, lattice: Lattice) -> list[str]:
+def candidate_keys(chunk: str) -> set[str]:
+    """The keys of everything that a split of the chunk can make a value; none if it has no weak delimiter."""
+    pieces = _weak_pieces(chunk)
+    n = len(pieces) // 2 + 1
+    return {value_key("".join(pieces[2 * a : 2 * end - 1])) for end in range(1, n + 1) for a in range(end)} if n > 1 else set()
+
+
+def split_values(text: str | None, lattice: Lattice, rare: dict[str, float] | None = None) -> list[str]:
     if not text:
         return []
-    parts = (p for c, atomic in chunks(text) for p in ([c] if atomic else lattice.split(c)))
+    parts = (p for c, atomic in chunks(text) for p in ([c] if atomic else lattice.split(c, rare)))
     return [v for v in map(cleaned, parts) if v is not None]
 
 
+class Model(dict):
+    """Counts of the frequent values; total counts all values, and rare (k, n) holds those below MIN_SHARE, or is None if there are none."""
+
+    total: float = 0.0
+    rare: DataFrame | None = None
+
+
+def _rare(ks: list[str] | None, ns: list[float] | None) -> dict[str, float] | None:
+    return None if ks is None else dict(zip(ks, ns, strict=True))
+
+
 def _segmented(lattice: Lattice):  # noqa: ANN202
     @F.pandas_udf("array<string>")
-    def segmented(s: pd.Series) -> pd.Series:
-        return pd.Series([[value_key(v) for p in lattice.split(c) if (v := cleaned(p)) is not None] for c in s], dtype=object)
+    def segmented(s: pd.Series, ks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([[value_key(v) for p in lattice.split(c, _rare(k, n)) if (v := cleaned(p)) is not None] for c, k, n in zip(s, ks, ns, strict=True)], dtype=object)
 
     return segmented
 
 
-def learn_lattice(texts: DataFrame, column: str, rounds: int = 4) -> dict[str, float]:
+def _candidates(whole: bool):  # noqa: ANN202
+    """The candidate keys of a chunk, or of all chunks of a whole text."""
+
+    @F.pandas_udf("array<string>")
+    def candidates(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted({k for c, atomic in (chunks(t) if whole else [(t, False)]) if not atomic for k in candidate_keys(c)}) for t in s], dtype=object)
+
+    return candidates
+
+
+def _rare_pieces(pieces: DataFrame, by: str, rare: DataFrame) -> DataFrame:
+    """(by, ks, ns): the rare ones among the pieces (by, k), and their counts."""
+    found = pieces.join(rare.select("k", F.col("n").cast("double").alias("rare_n")), "k").groupBy(by).agg(F.collect_list(F.struct("k", "rare_n")).alias("x"))
+    return found.select(by, F.col("x.k").alias("ks"), F.col("x.rare_n").alias("ns"))
+
+
+def learn_lattice(texts: DataFrame, column: str, rounds: int = 20) -> Model:
     """Value frequencies of the whole column by expectation maximisation.
 
     Values without weak delimiters, JSON elements and quoted spans are counted once and for all; chunks with weak
     delimiters are split by the current frequencies (each text counted as often as it occurs) and recounted until the
-    dictionary stays the same. Only values with MIN_SHARE of all values leave the executors, at most 1 / MIN_SHARE of them.
+    counts stay the same. Only values with MIN_SHARE of all values leave the executors, at most 1 / MIN_SHARE of them; the
+    rarer ones stay in a table, in which the candidate pieces of each chunk are looked up.
     """
 
     @F.pandas_udf("array<struct<k:string,open:boolean>>")
@@ -256,17 +297,25 @@ def learn_lattice(texts: DataFrame, column: str, rounds: int = 4) -> dict[str, f
     parts = cut(distinct.select("n", F.explode(lexed(column)).alias("x")).groupBy("x.k", "x.open").agg(F.sum("n").alias("n")))
     fixed, ambiguous = parts.where(~F.col("open")).select("k", "n"), parts.where("open")
 
-    def dictionary(counts: DataFrame) -> dict[str, float]:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        return {r.k: float(r.n) for r in counts.where(F.col("n") >= max(total * MIN_SHARE, 1)).orderBy(F.desc("n"), "k").limit(int(1 / MIN_SHARE)).collect()}
-
-    found = dictionary(fixed)
+    def model(counts: DataFrame) -> tuple[Model, tuple]:
+        counts = cut(counts)
+        total, n, print_ = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.xxhash64("k", "n").cast("decimal(38,0)"))).first()
+        least = max((total or 0) * MIN_SHARE, 1)
+        out = Model({r.k: float(r.n) for r in counts.where(F.col("n") >= least).collect()})
+        out.total, out.rare = float(total or 0), counts.where(F.col("n") < least) if n > len(out) else None
+        return out, (total, n, print_)
+
+    found, seen = model(fixed)
+    pieces = cut(ambiguous.select(F.col("k").alias("chunk"), F.explode(_candidates(False)("k")).alias("k")))
+    nothing = F.lit(None).cast("array<string>").alias("ks"), F.lit(None).cast("array<double>").alias("ns")
     for _ in range(rounds):
-        again = ambiguous.select("n", F.explode(_segmented(Lattice(found))("k")).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
-        new = dictionary(fixed.unionByName(again.select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")))
-        if new == found:
+        asked = ambiguous.select("k", "n")
+        asked = asked.select("*", *nothing) if found.rare is None else asked.join(_rare_pieces(pieces, "chunk", found.rare).withColumnRenamed("chunk", "k"), "k", "left")
+        again = asked.select("n", F.explode(_segmented(Lattice(found))("k", "ks", "ns")).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
+        before = seen
+        found, seen = model(fixed.unionByName(again.select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")))
+        if seen == before:
             break
-        found = new
     return found
 
 
@@ -274,11 +323,27 @@ def unpack(rows: DataFrame, column: str, keys: list[str], value: str = "value",
     """(keys, pos int, value): each value of a packed text as written, positions from 0.
 
     Null marks take no position; null and empty texts give no row; texts are read whole; repeated rows stay repeated.
+    Texts with weak delimiters get the counts of their rare pieces, if the model has rare values, by a lookup in which
+    frequent texts don't gather; the others are split where they are.
     """
-    lattice = Lattice(learn_lattice(rows, column) if model is None else model)
+    model = learn_lattice(rows, column) if model is None else model
+    lattice = Lattice(model)
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
         return pd.Series([split_values(t, lattice) for t in s], dtype=object)
 
-    return spread(rows.select(*keys, column)).select(*keys, F.posexplode(split(column)).alias("pos", value))
+    @F.pandas_udf("array<string>")
+    def split_rare(s: pd.Series, ks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([split_values(t, lattice, _rare(k, n)) for t, k, n in zip(s, ks, ns, strict=True)], dtype=object)
+
+    at = spread(rows.select(*keys, column))
+    if (rare := getattr(model, "rare", None)) is None:
+        return at.select(*keys, F.posexplode(split(column)).alias("pos", value))
+    weak = F.coalesce(F.col(column).rlike(r"(?U)\s(?:and|AND|And|&)\s|/"), F.lit(False))
+    texts = cut(at.where(weak).groupBy(F.col(column).alias("__text")).agg(F.count(F.lit(1)).alias("n")))
+    found = _rare_pieces(texts.select("__text", F.explode(_candidates(True)("__text")).alias("k")), "__text", rare)
+    known = cut(texts.join(found, "__text", "left"))
+    asked = lookup(at.where(weak).withColumn("__text", F.col(column)), known, ["__text"], "n")
+    plain = at.where(~weak).select(*keys, F.posexplode(split(column)).alias("pos", value))
+    return plain.unionByName(asked.select(*keys, F.posexplode(split_rare(column, "ks", "ns")).alias("pos", value)))

@@ -64,5 +64,16 @@ def test_learning_finds_joined_values(spark):
     assert model["plan and run"] == 42 and model["go"] == 42 and "go and plan" not in model
 
 
+def test_rare_joined_values_stay_whole_in_a_large_column(spark):
+    often = "[" + ", ".join(['"go"', '"python"'] * 50) + "]"
+    rows = [(f"r{i}", often) for i in range(2000)] + [("a", '["fold and mend", "flux/grid"]'), ("b", "fold and mend, go"), ("c", "go and fold and mend; flux/grid"), ("d", "go/python"), ("d", "go/python"), ("e", None)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    model = P.learn_lattice(df, "t")
+    assert set(model) == {"go", "python"} and {r.k: r.n for r in model.rare.collect()} == {"fold and mend": 3, "flux/grid": 2}
+    got = sorted((r.id, r.pos, r.value) for r in P.unpack(df.where("length(id) = 1"), "t", ["id"], model=model).collect())
+    assert got == [("a", 0, "fold and mend"), ("a", 1, "flux/grid"), ("b", 0, "fold and mend"), ("b", 1, "go"), ("c", 0, "go"), ("c", 1, "fold and mend"), ("c", 2, "flux/grid"), ("d", 0, "go"), ("d", 0, "go"), ("d", 1, "python"), ("d", 1, "python")]
+    assert P.unpack(df, "t", ["id"], model=model).count() == 200_000 + len(got)
+
+
 def test_edits():
     assert P.edits("abcd", "abdc", 2) == 1 and P.edits("kitten", "sitting", 3) == 3 and P.edits("a", "abcdef", 2) == 3
