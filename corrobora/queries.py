@@ -387,8 +387,17 @@ SELECT record_id, company, CAST(min(s) AS INT) AS s, CAST(max(e) AS INT) AS e FR
 
 
 def years_experience(spark: SparkSession, d: str) -> DataFrame:
-    """Years of the union of a record's months, half up to one decimal."""
-    posts = post_months(posts_of(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history").limit(0)), 2026 * 12 + 7)
+    """Years of the union of a record's months in linkedin_positions alone, as its SQL has it, half up to one decimal."""
+    return _years(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history").limit(0))
+
+
+def years_experience_all(spark: SparkSession, d: str) -> DataFrame:
+    """Years of the union of a record's months in both tables of posts, half up to one decimal."""
+    return _years(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history"))
+
+
+def _years(linkedin: DataFrame, history: DataFrame) -> DataFrame:
+    posts = post_months(posts_of(linkedin, history), 2026 * 12 + 7)
     g = merge_periods(posts).groupBy("record_id").agg(F.sum(F.col("e") - F.col("s") + 1).alias("months"))
     return g.select("record_id", F.col("months").cast("bigint").alias("months"), F.round(F.col("months").cast("decimal(12,4)") / 12, 1).cast("double").alias("years"))
 
@@ -401,6 +410,12 @@ p AS (SELECT record_id, max(e) - min(s) + 1 AS n FROM i GROUP BY record_id, g)
 SELECT record_id, CAST(sum(n) AS BIGINT) AS months, CAST(round(CAST(sum(n) AS DECIMAL(12,4)) / CAST(12 AS DECIMAL(12,4)), 1) AS DOUBLE) AS years FROM p GROUP BY record_id
 """
 
+_MONTHS_SQL = P2_SQL.partition(",\np AS (")[0]
+YEARS_EXPERIENCE_ALL = f"""
+{_MONTHS_SQL}, p AS (SELECT record_id, max(e) - min(s) + 1 AS n FROM i GROUP BY record_id, g)
+SELECT record_id, CAST(sum(n) AS BIGINT) AS months, CAST(round(CAST(sum(n) AS DECIMAL(12,4)) / CAST(12 AS DECIMAL(12,4)), 1) AS DOUBLE) AS years FROM p GROUP BY record_id
+"""
+
 
 def partial_date_parse(spark: SparkSession, d: str) -> DataFrame:
     """First date of each free text, its rendering and month bounds; ambiguous months stay unknown."""
@@ -600,6 +615,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "union_refusals": (union_refusals, None), "name_compatibility": (name_compatibility, NAME_COMPATIBILITY), "noisy_or": (noisy_or, NOISY_OR), "survivorship": (survivorship, SURVIVORSHIP),
     "scalar_confidence": (scalar_confidence, SCALAR_CONFIDENCE), "atomic_location": (atomic_location, ATOMIC_LOCATION), "set_ranking": (set_ranking, SET_RANKING),
     "overall_confidence": (overall_confidence, OVERALL_CONFIDENCE), "same_job_groups": (same_job_groups, SAME_JOB_GROUPS), "years_experience": (years_experience, YEARS_EXPERIENCE),
+    "years_experience_all": (years_experience_all, YEARS_EXPERIENCE_ALL),
     "partial_date_parse": (partial_date_parse, PARTIAL_DATE_PARSE), "as_of": (as_of, AS_OF), "country_alias": (country_alias, COUNTRY_ALIAS), "contested_keys": (contested_keys, CONTESTED_KEYS),
     "candidate_ids": (candidate_ids, CANDIDATE_IDS), "projection_on_missing": (projection_on_missing, PROJECTION_ON_MISSING), "json_paths": (json_paths, JSON_PATHS),
     "repeated_lines": (repeated_lines, REPEATED_LINES), "hyphen_heal": (hyphen_heal, HYPHEN_HEAL), "source_stats": (source_stats, SOURCE_STATS),

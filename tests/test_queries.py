@@ -44,6 +44,11 @@ def test_query(spark, duck, name):
     compare(spark, duck, core.queries()[name], core.oracle_sql().get(name))
 
 
+def test_years_of_both_tables_of_posts(spark):
+    ids = lambda name: {r.record_id for r in core.queries()[name](spark, DATA).select("record_id").distinct().collect()}
+    assert ids("years_experience_all") == ids("p2_found") > ids("years_experience")
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
