@@ -162,8 +162,10 @@ class Dictionary:
 
 
 def reference(entries: DataFrame, alias: str, entry: str) -> dict[str, str]:
-    """alias to entry of a reference list of at most MOST_ENTRIES rows."""
+    """alias to entry of a reference list of at most MOST_ENTRIES rows, repeated ones counted; a longer one raises an error."""
     rows = entries.where(F.col(alias).isNotNull() & F.col(entry).isNotNull()).select(alias, entry).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a reference list has more than {MOST_ENTRIES} rows")
     return {r[0]: r[1] for r in rows}
 
 

@@ -26,6 +26,15 @@ from corrobora.sources.tables import ats_atoms, evidence_atoms, roster_atoms
 from corrobora.streaming.incremental import event_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Rows of an alias table that are sent to every executor; a longer one raises an error.
+MOST_ALIASES = 100_000
+
+
+def _aliases(entries: DataFrame, entry: str) -> dict[str, str]:
+    rows = entries.select("alias", entry).limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"an alias table has more than {MOST_ALIASES} rows")
+    return {r[0]: r[1] for r in rows}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +169,7 @@ SELECT url, CASE WHEN host LIKE '%linkedin.com' THEN 'linkedin' WHEN host LIKE '
 
 def skill_scan(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary skills in whole documents, each once, by word borders."""
-    aliases = {r.alias: r.canonical for r in table(spark, d, "skill_aliases").limit(100_000).collect()}
+    aliases = _aliases(table(spark, d, "skill_aliases"), "canonical")
     scanner = SkillScanner(aliases)
 
     @F.pandas_udf("array<string>")
@@ -250,7 +259,7 @@ def union_refusals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _people_atoms(spark: SparkSession, d: str) -> DataFrame:
-    aliases = {r.alias: r.canonical for r in table(spark, d, "skill_aliases").limit(100_000).collect()}
+    aliases = _aliases(table(spark, d, "skill_aliases"), "canonical")
     return cut(ats_atoms(table(spark, d, "t1_ats"), aliases).unionByName(roster_atoms(table(spark, d, "t1_roster"))))
 
 
@@ -449,7 +458,7 @@ AS_OF = "SELECT max(CAST(substr(trim(lastupdated), 1, 4) AS INT) * 12 + CAST(sub
 
 def country_alias(spark: SparkSession, d: str) -> DataFrame:
     """Countries by a dictionary, as a literal map inside the scan's stage."""
-    aliases = {r.alias: r.country_code for r in table(spark, d, "country_aliases").limit(100_000).collect()}
+    aliases = _aliases(table(spark, d, "country_aliases"), "country_code")
     a = table(spark, d, "t1_ats").select("record_id", "country").where("country IS NOT NULL")
     return a.select("record_id", "country", country_code_col(F.col("country"), aliases).alias("code"))
 

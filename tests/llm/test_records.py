@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corrobora.llm import canonical as K
@@ -115,6 +116,14 @@ def test_symmetric_deletes_find_all_near_aliases():
             assert K.weighted_distance(q, near)[1] == min(w for _, w in brute)
 
 
+def test_long_reference_lists_raise(spark, monkeypatch):
+    entries = spark.createDataFrame([("go", "go")] * 4 + [("k8s", "kubernetes")], "alias string, canonical string")
+    assert K.reference(entries, "alias", "canonical") == {"go": "go", "k8s": "kubernetes"}
+    monkeypatch.setattr(K, "MOST_ENTRIES", 4)
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        K.reference(entries, "alias", "canonical")
+
+
 def test_terms(spark):
     ats = spark.createDataFrame([("a", "Go; kubernetse and javanese dance", " Niger ", 1), ("a", "Go; kubernetse and javanese dance", " Niger ", 1), ("b", None, "n/a", 2), (None, '["k8s"]', None, 3), ("c", "", "Atlantis", 4)], "record_id string, skills string, country string, canonical int")
     s = spark.createDataFrame(list(SKILLS.items()), "alias string, canonical string")

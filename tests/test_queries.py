@@ -49,6 +49,13 @@ def test_years_of_both_tables_of_posts(spark):
     assert ids("years_experience_all") == ids("p2_found") > ids("years_experience")
 
 
+@pytest.mark.parametrize("name", ["skill_scan", "country_alias", "guarded_clusters"])
+def test_long_alias_tables_raise(spark, monkeypatch, name):
+    monkeypatch.setattr(core, "MOST_ALIASES", 100, raising=False)
+    with pytest.raises(ValueError, match="more than 100 rows"):
+        core.queries()[name](spark, DATA)
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
