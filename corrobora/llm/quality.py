@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corrobora.llm.shape import kind_of, shape
+from corrobora.llm.measures import STATISTICS, document_words, measure
 from corrobora.operators.layout import spread
 from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
-#: A word is common if it is in this share of a language's documents: so there are at most mean distinct words / share of them.
-COMMON_SHARE = 0.05
-#: Languages with fewer than this share of the documents are ranked together: so there are at most 1 / share languages.
-LANGUAGE_SHARE = 0.005
-OTHER = "other"
-STATISTICS = ["n_words", "mean_word_length", "symbol_ratio", "line_end_ratio", "common_ratio", "list_share", "table_share", "junk_share"]
+#: A word is common if it is in this share of all documents: so there are at most mean distinct words / share of them.
+COMMON_SHARE = 0.005
+#: Per kind: the statistics whose tails speak for it, the side of the tail, and where a text stands that is half of that kind.
+#: A text is of a kind if its joint tail in its language is as far out as that of such a half text, so the ranks decide and
+#: no share of a kind in the corpus, however large, moves the decision.
+HIGH, LOW = "high", "low"
+HALF_TEXTS = {
+    "table": {"column_share": (HIGH, 0.5), "sentence_ratio": (LOW, 0.05)},
+    "junk": {"unreadable_share": (HIGH, 0.5), "plain_ratio": (LOW, 0.4)},
+    "list": {"item_share": (HIGH, 0.5), "sentence_ratio": (LOW, 0.05)},
+}
 
 
 def language(c: Column) -> Column:
@@ -28,6 +33,11 @@ def language(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]+)", 1), F.lit(""))
 
 
+def pool_of(lang: Column) -> Column:
+    """The language under which a text is ranked: two letters, so that de and deu rank together."""
+    return F.substring(lang, 1, 2)
+
+
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang, n_chars, n_words, mean_word_length, symbol_ratio, line_end_ratio) of every text, by built-in functions.
 
@@ -49,41 +59,32 @@ def _ratio(a: str, b: str) -> Column:
     return F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
 
 
-def common_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, set[str]]:
-    """The common words of each language, from the document frequencies over all texts."""
-    d = documents.where(F.col(text).isNotNull()).select(language(F.col(lang)).alias("lang"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), 1)).alias("ws"))
-    sizes = d.groupBy("lang").count()
-    n = {r[0]: r[1] for r in sizes.orderBy(F.desc("count")).limit(int(1 / LANGUAGE_SHARE)).collect()}
-    total = sum(n.values())
-    kept = {k: v for k, v in n.items() if v >= LANGUAGE_SHARE * total}
-    if not kept:
-        return {}
-    least = F.element_at(F.create_map(*[F.lit(x) for k, v in kept.items() for x in (k, COMMON_SHARE * v)]), F.col("lang"))
-    df = d.where(F.col("lang").isin(*kept)).select("lang", F.explode("ws").alias("w")).groupBy("lang", "w").count().where(F.col("count") >= least)
-    out: dict[str, set[str]] = {k: set() for k in kept}
-    for r in df.collect():
-        out[r.lang].add(r.w)
-    return out
-
-
-def shapes(documents: DataFrame, common: dict[str, set[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, text, lang, shares, kind): the shares that need whole lines: common words, list, table and unreadable text."""
-    anyone = set().union(*common.values()) if common else set()
-
-    @F.pandas_udf("struct<common_ratio:double,list_share:double,table_share:double,junk_share:double,kind:string>")
-    def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        find = re.compile(r"[^\W\d_]+").findall
-        for texts, langs in batches:
-            rows = []
-            for t, g in zip(texts, langs, strict=True):
-                s = shape(t)
-                ws = find(t.lower()) if t else []
-                known = common.get(g, anyone)
-                share = sum(w in known for w in ws) / len(ws) if ws else 0.0
-                rows.append({"common_ratio": round(share, 6)} | {k: round(v, 6) for k, v in s.items()} | {"kind": kind_of(*s.values())})
-            yield pd.DataFrame(rows, columns=["common_ratio", "list_share", "table_share", "junk_share", "kind"])
-
-    return documents.select(key, text, lang).withColumn("__m", measured(F.col(text), language(F.col(lang)))).select(key, text, lang, "__m.*")
+def common_words(documents: DataFrame, text: str = "text") -> np.ndarray:
+    """Numbers of the words that stand in COMMON_SHARE of the texts, counted over all of them, in order.
+
+    Each batch is folded to its distinct words before anything is shuffled.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w, n = document_words(list(pdf[text]))
+            yield pd.DataFrame({"w": np.append(w, 0), "n": np.append(n, len(pdf)), "total": np.append(np.zeros(len(w), dtype=bool), True)})
+
+    sums = cut(documents.select(text).mapInPandas(counted, "w bigint, n bigint, total boolean").groupBy("w", "total").agg(F.sum("n").alias("n")))
+    total = sums.where("total").agg(F.max("n")).first()[0] or 0
+    rows = sums.where(~F.col("total") & (F.col("n") >= max(2, COMMON_SHARE * total))).select("w").collect()
+    return np.sort(np.array([r.w for r in rows], dtype=np.int64))
+
+
+def measured(documents: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, STATISTICS) of every row, in one narrow pass over whole texts. Null and blank texts have zeros."""
+
+    @F.pandas_udf("struct<" + ",".join(f"{n}:{'int' if n in ('n_chars', 'n_words') else 'double'}" for n in STATISTICS) + ">")
+    def all_(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame(measure(list(s), common), columns=list(STATISTICS))
+
+    return documents.select(key, language(F.col(lang)).alias("lang"), all_(text).alias("m")).select(key, "lang", "m.*")
 
 
 def tail_ranks(rows: DataFrame, key: str, group: str, names: list[str]) -> DataFrame:
@@ -108,6 +109,11 @@ def tail_ranks(rows: DataFrame, key: str, group: str, names: list[str]) -> DataF
     return lookup(long, ranks, [group, "stat", "value"], "n")
 
 
+def _beyond(share: Column, pool: Column) -> Column:
+    """-ln of an empirical tail probability, one text added to both sides, so no tail is empty."""
+    return -F.ln((share * pool + 1) / (pool + 1))
+
+
 def outlier_scores(rows: DataFrame, key: str, group: str, names: list[str]) -> DataFrame:
     """(key, score, pool): the sum over the statistics of -ln of the two-sided tail probability, at most 1; pool is the size of the group."""
     p = tail_ranks(rows, key, group, names)
@@ -115,24 +121,49 @@ def outlier_scores(rows: DataFrame, key: str, group: str, names: list[str]) -> D
     return p.groupBy(key).agg(F.round(F.sum(-F.ln(tail)), 6).alias("score"), F.max("pool").alias("pool"))
 
 
-def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, statistics, kind, score, pool) of every text that isn't null or blank. key must be unique.
+def kinds(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """(key, kind, margin): the kind of each row of the group whose joint tail is as far out as that of a half text of that kind.
 
-    kind is what most of the text is by its layout (list, table, junk) or null for prose; score says how far out its
-    statistics lie among the texts of its language.
+    Tails of the statistics of HALF_TEXTS are added up per kind and compared with those of the half text in the same ranks; of
+    several kinds the one with the largest margin counts. Rows of no kind are left out.
     """
+    sides = sorted({(n, side) for t in HALF_TEXTS.values() for n, (side, _) in t.items()})
+    p = tail_ranks(rows, key, group, sorted({n for n, _ in sides}))
+    tail = {(n, s): F.max(F.when(F.col("stat") == n, _beyond(F.col(f"p_{s}"), F.col("pool")))) for n, s in sides}
+    out = p.groupBy(key, group).agg(*[tail[x].alias(f"{x[0]}_{x[1]}") for x in sides])
+    size = F.count(F.lit(1))
+    edge = {
+        (n, s, v): _beyond(F.sum(((F.col(n) >= v) if s == HIGH else (F.col(n) <= v)).cast("double")) / size, size)
+        for t in HALF_TEXTS.values() for n, (s, v) in t.items()
+    }
+    half = rows.groupBy(group).agg(*[sum((edge[n, s, v] for n, (s, v) in t.items()), F.lit(0.0)).alias(f"half_{k}") for k, t in HALF_TEXTS.items()])
+    at = out.join(half, group)
+    margins = [F.struct(F.round(sum((F.col(f"{n}_{s}") for n, (s, _) in t.items()), F.lit(0.0)) - F.col(f"half_{k}"), 9).alias("margin"), F.lit(-i).alias("i"), F.lit(k).alias("kind")) for i, (k, t) in enumerate(HALF_TEXTS.items())]
+    best = at.select(key, F.array_max(F.array(*margins)).alias("x")).where("x.margin >= 0")
+    return best.select(key, "x.kind", "x.margin")
+
+
+def _rows(documents: DataFrame, key: str, text: str, lang: str, with_common: bool = True) -> DataFrame:
     d = spread(documents.select(key, text, lang).where(F.col(text).rlike(r"(?U)\S")))
-    common = common_words(d, text, lang)
-    shares = ("common_ratio", "list_share", "table_share", "junk_share", "kind")
-    rows = text_statistics(shapes(d, common, key, text, lang), key, text, lang, shares)
-    rows = cut(rows.withColumn("ranked_in", F.when(F.col("lang").isin(*common), F.col("lang")).otherwise(F.lit(OTHER)) if common else F.lit(OTHER)))
-    return rows.join(outlier_scores(rows, key, "ranked_in", STATISTICS), key)
+    common = common_words(d, text) if with_common else np.zeros(0, dtype=np.int64)
+    return cut(measured(d, common, key, text, lang).withColumn("pool_lang", pool_of(F.col("lang"))))
+
+
+def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, STATISTICS, kind, score, pool) of every text that isn't null or blank. key must be unique.
+
+    score says how far out all statistics together lie among the texts of the language; kind is list, table or junk, or null
+    for prose. Texts without a language label are ranked among themselves.
+    """
+    rows = _rows(documents, key, text, lang)
+    at = rows.join(outlier_scores(rows, key, "pool_lang", list(STATISTICS)), key)
+    return at.join(kinds(rows, key, "pool_lang").select(key, "kind"), key, "left").drop("pool_lang")
 
 
 def non_prose(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, kind, score): the texts most of which is a list, a table or junk.
+    """(key, kind, score): the texts most of which is a list, a table or junk, by the tails of their statistics.
 
-    The layout of the whole text alone decides; score says how far out the text lies and leaves none out, as copies that make
-    up half of a pool lie in its middle. Null and blank texts are left out.
+    score is the margin over a text that is half of that kind. No kind needs the common words, so they aren't counted here. Copies share their ranks and are judged like any other, however
+    many there are. Null and blank texts are left out.
     """
-    return quality(documents, key, text, lang).where(F.col("kind").isNotNull()).select(key, "kind", "score")
+    return kinds(_rows(documents, key, text, lang, with_common=False), key, "pool_lang").select(key, "kind", F.col("margin").alias("score"))

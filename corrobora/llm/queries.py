@@ -121,6 +121,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.non_prose(table(spark, d, "documents")).select("doc_id", "kind")
 
 
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics, outlier scores and kinds."""
+    return quality.quality(table(spark, d, "documents"))
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "documents"))
 
@@ -156,7 +161,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
         "p7_found": p7_found, "p7_table": p7_table, "p8_ids": p8_ids,
-        "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_stats": p10_stats, "p10_scores": p10_scores,
+        "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_quality": p10_quality, "p10_stats": p10_stats, "p10_scores": p10_scores,
     }
 
 

@@ -7,7 +7,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corrobora.llm import leaks, quality, shape, tokens
+from corrobora.llm import leaks, measures, quality, tokens
 
 have = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary")
 
@@ -121,15 +121,36 @@ KINDS = {
 }
 
 
-@pytest.mark.parametrize(("kind", "names"), [(None, "prose caps nopunct ja"), ("list", "list dashes inline"), ("table", "table csv pipes html fixed"), ("junk", "junk hex again rule digits mash soup")])
-def test_kinds(kind, names):
-    for n in names.split():
-        assert shape.kind_of(*shape.shape(KINDS[n]).values()) == kind, n
+NONE = measures.np.zeros(0, dtype=measures.np.int64)
 
 
-def test_shapes_of_nothing_and_of_much():
-    assert set(shape.shape(None).values()) == set(shape.shape(" \n ").values()) == {0.0}
-    assert shape.kind_of(*shape.shape(PROSE * 3000).values()) is None
+def test_measures_of_nothing_and_of_much():
+    m = measures.measure([None, "", " \n "], NONE)
+    assert all(set(m[k].tolist()) <= {0, 0.0} for k in measures.STATISTICS if k != "n_chars") and m["n_chars"].tolist() == [0, 0, 3]
+    assert all(len(v) == 0 for v in measures.measure([], NONE).values())
+    m = measures.measure([PROSE * 3000, PROSE], NONE)
+    assert m["item_share"].tolist() == m["column_share"].tolist() == [0.0, 0.0] and m["n_words"][0] > 90_000
+
+
+def test_measures_dont_depend_on_the_batch():
+    texts = list(KINDS.values())
+    together = measures.measure(texts, NONE)
+    for i, t in enumerate(texts):
+        assert {k: v[0] for k, v in measures.measure([t], NONE).items()} == {k: v[i] for k, v in together.items()}
+
+
+def test_document_words_by_counting():
+    texts = ["Alpha beta, alpha", "BETA x gamma", None, ""]
+    w, n = measures.document_words(texts)
+    assert sorted(n.tolist()) == [1, 1, 2] and list(w) == sorted(w)
+
+
+def test_measures_agree_with_the_builtin_statistics(spark):
+    rows = [(i, t, "en") for i, t in enumerate([*KINDS.values(), "a\r\nb.\rc\u3000d", "İx ß.", "“Quoted.”\n\n(x)"])]
+    got = quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).orderBy("doc_id").collect()
+    m = measures.measure([t for _, t, _ in rows], NONE)
+    for name in ("n_chars", "n_words", "mean_word_length", "symbol_ratio"):
+        assert [r[name] for r in got] == pytest.approx(m[name].tolist(), abs=2e-6), name
 
 
 def test_quality_operator(spark):
@@ -142,12 +163,27 @@ def test_quality_operator(spark):
     assert quality.non_prose(df.limit(0)).count() == 0
 
 
+def test_the_tails_decide(spark, monkeypatch):
+    """Without the joint tails nothing is told apart: planted lists, tables and junk come out only by their ranks."""
+    rows = [(i, PROSE.replace("32", str(i)), "en") for i in range(30)] + [(100 + i, t, "en") for i, t in enumerate(KINDS.values())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert quality.non_prose(df).count() == 15
+    monkeypatch.setattr(quality, "_beyond", lambda share, pool: quality.F.lit(0.0))
+    assert quality.non_prose(df).count() == len(rows)
+
+
+def test_numbers_in_columns_are_a_table(spark):
+    table = "\n".join(f"| {i}.4 | {2000 + i}-07 | R{i}93 |" for i in range(9))
+    quoted = "\n".join(f'"{i}";"{i}.1";"2"' for i in range(9))
+    rows = [(i, PROSE.replace("32", str(i)), "en") for i in range(30)] + [(50, table, "en"), (51, quoted, "en")]
+    assert {r.doc_id: r.kind for r in quality.non_prose(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()} == {50: "table", 51: "table"}
+
+
 def test_copies_that_fill_a_pool_are_kept(spark):
     rows = [(i, PROSE.replace("32", str(i)), "en") for i in range(60)] + [(100 + i, KINDS[("junk", "list", "table")[i // 90]], ("ja", "fr", None)[i // 90]) for i in range(270)]
     rows += [(500 + i, PROSE.replace("32", str(i)), ("ja", "fr", None)[i % 3]) for i in range(30)]
     got = {r.doc_id: (r.kind, r.score) for r in quality.non_prose(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert {i: k for i, (k, _) in got.items()} == {100 + i: ("junk", "list", "table")[i // 90] for i in range(270)}
-    assert all(s == 0 for _, s in got.values())
 
 
 def test_ranks_against_brute_force(spark):
