@@ -109,7 +109,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    found = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that say an item's passage in other words or with words between, answers included."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'paraphrase'").drop("kind")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +167,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_golden": p6_golden,
         "p7_found": p7_found, "p7_table": p7_table, "p8_ids": p8_ids,
-        "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found, "p10_quality": p10_quality, "p10_stats": p10_stats, "p10_scores": p10_scores,
+        "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p9_report": p9_report, "p10_found": p10_found, "p10_quality": p10_quality, "p10_stats": p10_stats, "p10_scores": p10_scores,
     }
 
 

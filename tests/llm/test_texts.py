@@ -62,10 +62,10 @@ ITEM = "Nominee Cegald swapped surname racri for Benov following registry decree
 OTHER = "Contract Zutol obliges Cequo to disclose every alias used since 8605 near haald before any transfer of open vacancies holding dossiers."
 
 
-def found(spark, docs, items=((1, ITEM), (2, OTHER), (3, "too short"), (4, None))):
+def found(spark, docs, items=((1, ITEM), (2, OTHER), (3, "too short"), (4, None)), kind="verbatim"):
     d = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id bigint, text string, item_id string")
     e = spark.createDataFrame([(i, t, "task", "test") for i, t in items], "item_id bigint, text string, task string, split_name string")
-    return sorted((r.doc_id, r.item_id, r.run_words) for r in leaks.leaked_items(d, e).collect())
+    return sorted((r.doc_id, r.item_id, r.run_words) for r in leaks.leaked_items(d, e).where(f"kind = '{kind}'").collect())
 
 
 def test_leaks_in_any_layout(spark):
@@ -104,8 +104,68 @@ def test_repeats_and_brute_force(spark):
     assert [(d, i) for d, i, _ in found(spark, docs, items)] == want and want
 
 
-def test_longest_common_subsequence():
-    assert leaks.longest_common([1, 2, 3, 4], [2, 9, 4, 1]) == 2 and leaks.longest_common([], [1]) == 0
+def test_common_order_by_brute_force():
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            out = [0]
+            for j, y in enumerate(b):
+                out.append(row[j] + 1 if x == y and x >= 0 else max(out[-1], row[j + 1]))
+            row = out
+        return row[-1]
+
+    rnd = random.Random(5)
+    a = [[rnd.randrange(-1, 5) for _ in range(7)] for _ in range(200)]
+    b = [[rnd.randrange(-2, 5) for _ in range(9)] for _ in range(200)]
+    got = leaks.common_order(leaks.np.array(a), leaks.np.array(b)).tolist()
+    assert got == [lcs(x, y) for x, y in zip(a, b)]
+
+
+PARAPHRASES = {
+    1: "Nominee Cegald swapped the surname racri for Benov under following registry decree, 2018. Prose goes on here.",
+    2: "We know: between fiwyn and also soquo only one known resume ever mentions apprenticeship Vidun there under guild 5799.",
+}
+NO_PARAPHRASES = {
+    3: "Nominee Anna swapped the surname Miller for Smith under following registry decree, 1999. Prose goes on here.",
+    4: "decree registry following Benov racri surname swapped Cegald Nominee 2018 in a list of words turned round, with more words around it",
+    5: "It took 32 weeks, but the desk was finished by October and mentions of apprenticeship were few.",
+}
+
+
+def test_paraphrases_by_order_and_answers(spark):
+    docs = list((PARAPHRASES | NO_PARAPHRASES).items())
+    assert {(d, i) for d, i, _ in found(spark, docs, kind="paraphrase")} == {(1, 1), (2, 1)}
+    assert found(spark, docs) == []
+
+
+@pytest.mark.parametrize(("name", "off"), [("COSINE", 1.5), ("IN_ORDER", 6), ("SAME_ORDER", 1.1), ("ANSWERS", 1.1)])
+def test_every_step_decides(name, off, monkeypatch):
+    """Planted leaks go missing when the similarity, the order of blocks, the order of passages or the answers are switched off."""
+    items = leaks.Items([(1, ITEM), (2, OTHER)])
+    rnd = leaks.np.random.default_rng(3)
+    space = leaks.Space(items, leaks.np.ones(len(items.known), dtype="float32"), leaks.np.linalg.qr(rnd.standard_normal((len(items.known), 16)))[0])
+    texts = [*PARAPHRASES.values(), ITEM]
+    want = [(0, 1, "paraphrase"), (1, 1, "paraphrase"), (2, 1, "verbatim")]
+    assert [x[:3] for x in leaks.search(texts, space)] == want
+    monkeypatch.setattr(leaks, name, off)
+    assert [x[:3] for x in leaks.search(texts, space)] == ([] if name in ("COSINE", "IN_ORDER") else want[2:])
+
+
+def test_nothing_near_means_nothing_found(monkeypatch):
+    """The latent vectors choose the candidates: scrambled ones find no leak, not even a verbatim one."""
+    items = leaks.Items([(1, ITEM)])
+    space = leaks.Space(items, leaks.np.ones(len(items.known), dtype="float32"), leaks.np.linalg.qr(leaks.np.random.default_rng(3).standard_normal((len(items.known), 16)))[0])
+    assert [x[2] for x in leaks.search([ITEM], space)] == ["verbatim"]
+    space.rows = -space.rows
+    assert leaks.search([ITEM], space) == []
+
+
+def test_items_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_BLOCKS", 25)
+    docs = [(1, f"x {ITEM} y"), (2, OTHER), (3, f"{OTHER} {ITEM}")]
+    assert {(d, i) for d, i, _ in found(spark, docs)} == {(1, 1), (2, 2), (3, 1), (3, 2)}
 
 
 PROSE = "It took 32 weeks, but the desk was finished by October. References were direct, though 14 of them knew little about shift planning. Please send the shortlist to Anna at short notice."
