@@ -18,10 +18,12 @@ from corrobora.session import cut
 
 #: The key that names the candidate of a line, by which lines of two files are compared.
 ENTITY = "candidateRef"
-#: A rename needs this share of agreeing values among the candidates that two files share ...
-AGREE = 0.8
-#: ... or, where they share none, this similarity of names.
-NAMES_ALONE = 0.55
+#: A rename needs this share of the settled similarity of a key that keeps its name and content.
+ACCEPT = 0.5
+#: Parts of names and of contents in what a pair starts from, and how much of its neighbours' similarity flows into a pair.
+NAMES, CONTENTS, FLOW = 0.25, 0.75, 0.8
+#: Rounds after which flooding must have settled to within SETTLED.
+ROUNDS, SETTLED = 500, 1e-6
 #: Renamed keys that the consistent table may know; the mapping of that many goes to the executors.
 MOST_KEYS = 10_000
 
@@ -70,10 +72,24 @@ def content(v: object) -> str | None:
     return " ".join(sorted(words))
 
 
+def nesting(v: object, depth: int = 3) -> list[str]:
+    """Paths of the named fields inside a value, lists aside, down to a depth."""
+    out, stack = set(), [(v, "", depth)]
+    while stack:
+        x, path, left = stack.pop()
+        if isinstance(x, list):
+            stack.extend((y, path, left) for y in x if isinstance(y, dict | list))
+        elif isinstance(x, dict) and left:
+            for k, y in x.items():
+                out.add(f"{path}{k}")
+                stack.append((y, f"{path}{k}.", left - 1))
+    return sorted(out)
+
+
 def entries(drops: DataFrame) -> DataFrame:
-    """(feed, file_seq, file_name, line_no, entity, key, type, said): each top-level key of each readable line."""
+    """(feed, file_seq, file_name, line_no, entity, key, type, inner, said): each top-level key of each readable line."""
 
-    @F.pandas_udf("array<struct<entity:string,key:string,type:string,said:bigint>>")
+    @F.pandas_udf("array<struct<entity:string,key:string,type:string,inner:array<string>,said:bigint>>")
     def fields(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from hashlib import blake2b
 
@@ -87,7 +103,7 @@ def entries(drops: DataFrame) -> DataFrame:
                 for k, v in x.items():
                     c = content(v)
                     said = None if c is None else int.from_bytes(blake2b(c.encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    row.append({"entity": who, "key": k, "type": json_type(v), "said": said})
+                    row.append({"entity": who, "key": k, "type": json_type(v), "inner": nesting(v) or None, "said": said})
                 rows.append(row)
             yield pd.Series(rows)
 
@@ -108,68 +124,89 @@ def dice(a: set[str], b: set[str]) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
-def flood(gone: dict[str, set[str]], new: dict[str, set[str]], said: dict[tuple[str, str], tuple[int, int, int]], rounds: int = 200) -> list[tuple[str, str]]:
-    """Renames among the keys that went and came, by similarity flooding.
+def alike(x: str, y: str) -> float:
+    return 1.0 if x == y else dice(trigrams(x), trigrams(y))
+
+
+def _partners(xs: list[str], ys: list[str]) -> list[tuple[str, str]]:
+    """Each x with the y most like it, and each y with such an x."""
+    if not xs or not ys:
+        return []
+    to = {(x, max(sorted(ys), key=lambda y: alike(x, y))) for x in xs} | {(max(sorted(xs), key=lambda x: alike(x, y)), y) for y in ys}
+    return sorted(to)
 
-    gone, new: key to JSON types. said: (old, new) to (candidates with both values, of these with the same content,
-    distinct contents). Pairs of keys, of their types and of the words of their names form the nodes; a pair of keys
-    starts from its names and its agreeing contents, and similarity flows along shared relations until it settles.
-    Then the best correspondences are taken, each key once, if contents agree or, without common candidates, names do.
+
+def _evidence(a: str, b: str, agree: tuple[int, int, int], inner_a: set[str], inner_b: set[str]) -> float:
+    """What a pair of keys starts from: its names, and how far beyond chance its contents agree.
+
+    Where no candidate has both, names count alone, or the fields nested in both values if there are two in common at least.
     """
-    start: dict[tuple, float] = {}
-    edges: list[tuple[tuple, tuple]] = []
+    shared, same, kinds = agree
+    names = dice(trigrams(a), trigrams(b))
+    if shared:
+        chance = 1 / max(kinds, 2)
+        lift = max(0.0, (same / shared - chance) / (1 - chance))
+        return NAMES * names + CONTENTS * lift**2 * (1 - chance**same)
+    both = inner_a & inner_b
+    return CONTENTS * max(names, len(both) / len(inner_a | inner_b) if len(both) >= 2 else 0.0)
+
+
+#: Stands for a key that keeps its name and content: what all pairs are measured by.
+KEPT = ("key", "=", "=")
+
+
+def flood(gone: dict[str, set[str]], new: dict[str, set[str]], said: dict[tuple[str, str], tuple[int, int, int]], inner: dict[str, set[str]] | None = None) -> dict[tuple[str, str], float]:
+    """The settled similarity of every pair of a key that went and one that came, by similarity flooding; KEPT has 1.
+
+    gone, new: key to JSON types. said: (old, new) to (candidates with both values, of these with the same content, distinct
+    contents). inner: key to paths of nested fields. The graph joins pairs of keys with the pairs of their types, of the words
+    of their names and of their nested fields. Each round a pair gets what it starts from and FLOW of the mean of its neighbours
+    by relation, and all are scaled to the largest. Raises if that doesn't settle.
+    """
+    inner = inner or {}
+    start: dict[tuple, float] = {KEPT: 1.0}
+    near: dict[tuple, dict[str, list[tuple]]] = {}
+
+    def join(pair: tuple, other: tuple, value: float) -> None:
+        start.setdefault(other, value)
+        near.setdefault(pair, {}).setdefault(other[0], []).append(other)
+        near.setdefault(other, {}).setdefault("key", []).append(pair)
+
     for a, b in product(sorted(gone), sorted(new)):
-        shared, same, _ = said.get((a, b), (0, 0, 0))
-        k = ("key", a, b)
-        start[k] = 0.5 * dice(trigrams(a), trigrams(b)) + (same / shared if shared else 0.0)
+        pair = ("key", a, b)
+        ia, ib = inner.get(a, set()), inner.get(b, set())
+        start[pair] = _evidence(a, b, said.get((a, b), (0, 0, 0)), ia, ib)
         for x, y in product(sorted(gone[a]), sorted(new[b])):
-            t = ("type", x, y)
-            start[t] = 1.0 if x == y else 0.3
-            edges.append((k, t))
-        for x, y in product(words(a), words(b)):
-            w = ("word", x, y)
-            start[w] = dice(trigrams(x), trigrams(y))
-            edges.append((k, w))
-    fan: dict[tuple, int] = {}
-    for k, o in edges:
-        fan[k, o[0]] = fan.get((k, o[0]), 0) + 1
-        fan[o, "key"] = fan.get((o, "key"), 0) + 1
+            join(pair, ("type", x, y), 1.0 if x == y else 0.3)
+        for relation, xs, ys in (("word", words(a), words(b)), ("inner", sorted(ia), sorted(ib))):
+            for x, y in _partners(xs, ys):
+                join(pair, (relation, x, y), alike(x, y))
+    for n in list(start):
+        if n[0] != "key" and n[1] == n[2]:
+            join(KEPT, n, 1.0)
+    if KEPT not in near:
+        join(KEPT, ("type", "=", "="), 1.0)
     now = dict(start)
-    for _ in range(rounds):
-        flow = {n: start[n] + now[n] for n in now}
-        for k, o in edges:
-            flow[o] += (start[k] + now[k]) / fan[k, o[0]]
-            flow[k] += (start[o] + now[o]) / fan[o, "key"]
-        top = max(flow.values(), default=1.0) or 1.0
-        nxt = {n: v / top for n, v in flow.items()}
-        moved = sum((nxt[n] - now[n]) ** 2 for n in now)
-        now = nxt
-        if moved < 1e-6:
-            break
-
-    def holds(a: str, b: str) -> bool:
-        shared, same, kinds = said.get((a, b), (0, 0, 0))
-        alike = dice(trigrams(a), trigrams(b))
-        if shared:
-            chance = 1 / max(kinds, 2)
-            return same >= AGREE * shared and (chance**same <= 0.01 or alike >= 0.3)
-        return alike >= NAMES_ALONE
-
-    ranked = sorted(product(gone, new), key=lambda p: (-_rate(said, p), -now["key", p[0], p[1]], p))
-    taken_a, taken_b, out = set(), set(), []
-    for a, b in ranked:
-        if a not in taken_a and b not in taken_b and holds(a, b):
-            taken_a.add(a)
-            taken_b.add(b)
+    for _ in range(ROUNDS):
+        flow = {n: [sum(now[m] for m in ms) / len(ms) for ms in near.get(n, {}).values()] for n in now}
+        raw = {n: start[n] + (FLOW * sum(parts) / len(parts) if parts else 0.0) for n, parts in flow.items()}
+        top = max(raw.values())
+        moved = max(abs(v / top - now[n]) for n, v in raw.items())
+        now = {n: v / top for n, v in raw.items()}
+        if moved < SETTLED:
+            return {(k[1], k[2]): v / now[KEPT] for k, v in now.items() if k[0] == "key" and k != KEPT}
+    raise RuntimeError(f"similarities of {sorted(gone)} and {sorted(new)} not settled after {ROUNDS} rounds")
+
+
+def correspondences(similarity: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """The pairs with ACCEPT or more that are consistent: each key once, the most similar first, then in order of names."""
+    out: list[tuple[str, str]] = []
+    for (a, b), v in sorted(similarity.items(), key=lambda x: (-round(x[1], 9), x[0])):
+        if v >= ACCEPT and all(a != x and b != y for x, y in out):
             out.append((a, b))
     return out
 
 
-def _rate(said: dict[tuple[str, str], tuple[int, int, int]], pair: tuple[str, str]) -> float:
-    shared, same, _ = said.get(pair, (0, 0, 0))
-    return round(same / shared, 1) if shared else 0.0
-
-
 def schema_changes(drops: DataFrame) -> DataFrame:
     """(feed, file_name, change_kind, field_name, new_name): what changes from a feed's file to the next by file_seq.
 
@@ -184,11 +221,11 @@ def schema_changes(drops: DataFrame) -> DataFrame:
     named = drops.where(F.col("feed").isNotNull() & F.col("file_name").isNotNull())
     files = named.groupBy("feed", "file_name").agg(F.min("file_seq").alias("file_seq"))
     files = files.select("feed", "file_name", F.lag("file_name").over(by).alias("before"), F.lead("file_name").over(by).alias("after"))
-    types = facts.groupBy("feed", "file_name", "key").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    types = facts.groupBy("feed", "file_name", "key").agg(F.array_sort(F.collect_set("type")).alias("types"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("inner")))).alias("inner"))
     at = types.join(files, ["feed", "file_name"])
-    cur = at.where(F.col("before").isNotNull()).select("feed", F.col("file_name").alias("step"), "key", F.lit(None).cast("array<string>").alias("old"), F.col("types").alias("new"))
-    old = at.where(F.col("after").isNotNull()).select("feed", F.col("after").alias("step"), "key", F.col("types").alias("old"), F.lit(None).cast("array<string>").alias("new"))
-    keys = cut(cur.unionByName(old).groupBy("feed", "step", "key").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new")))
+    cur = at.where(F.col("before").isNotNull()).select("feed", F.col("file_name").alias("step"), "key", F.lit(None).cast("array<string>").alias("old"), F.col("types").alias("new"), "inner")
+    old = at.where(F.col("after").isNotNull()).select("feed", F.col("after").alias("step"), "key", F.col("types").alias("old"), F.lit(None).cast("array<string>").alias("new"), "inner")
+    keys = cut(cur.unionByName(old).groupBy("feed", "step", "key").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"), F.max("inner").alias("inner")))
     went = keys.where(F.col("new").isNull()).select("feed", "step", "key")
     came = keys.where(F.col("old").isNull()).select("feed", "step", "key")
     changed = keys.where((F.size("old") > 0) & (F.size("new") > 0) & (F.col("old") != F.col("new")))
@@ -211,8 +248,8 @@ def schema_changes(drops: DataFrame) -> DataFrame:
     none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
     bag = (
         keys.join(both, ["feed", "step"], "left_semi").where(F.col("old").isNull() | F.col("new").isNull())
-        .select("feed", "step", "key", "old", "new", *none(("a", "string"), ("b", "string"), ("shared", "bigint"), ("same", "bigint"), ("kinds", "bigint")))
-        .unionByName(said.select("feed", "step", *none(("key", "string"), ("old", "array<string>"), ("new", "array<string>")), "a", "b", "shared", "same", "kinds"))
+        .select("feed", "step", "key", "old", "new", "inner", *none(("a", "string"), ("b", "string"), ("shared", "bigint"), ("same", "bigint"), ("kinds", "bigint")))
+        .unionByName(said.select("feed", "step", *none(("key", "string"), ("old", "array<string>"), ("new", "array<string>"), ("inner", "array<string>")), "a", "b", "shared", "same", "kinds"))
     )
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,10 +257,13 @@ def schema_changes(drops: DataFrame) -> DataFrame:
         gone = {r.key: set(r.old) for r in own.itertuples() if r.new is None}
         new = {r.key: set(r.new) for r in own.itertuples() if r.old is None}
         agree = {(r.a, r.b): (int(r.shared), int(r.same), int(r.kinds)) for r in pdf[pdf.a.notna()].itertuples()}
-        pairs = flood(gone, new, agree)
+        inner = {r.key: set(r.inner) for r in own.itertuples() if r.inner is not None}
+        pairs = correspondences(flood(gone, new, agree, inner))
         return pd.DataFrame({"feed": pdf.feed.iloc[0], "step": pdf.step.iloc[0], "a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, columns=["feed", "step", "a", "b"], dtype=object)
 
-    renamed = cut(bag.groupBy("feed", "step").applyInPandas(match, "feed string, step string, a string, b string"))
+    # A number of partitions asked for is kept, while small ones would be run in one task.
+    steps = bag.repartition(int(drops.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feed", "step")
+    renamed = cut(steps.groupBy("feed", "step").applyInPandas(match, "feed string, step string, a string, b string"))
     lost = went.join(renamed.select("feed", "step", F.col("a").alias("key")), ["feed", "step", "key"], "left_anti")
     found = came.join(renamed.select("feed", "step", F.col("b").alias("key")), ["feed", "step", "key"], "left_anti")
 
