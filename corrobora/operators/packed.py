@@ -17,10 +17,11 @@ from corrobora.operators.layout import spread
 from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
-#: Delimiters that always end a value outside quotes and parentheses.
+#: Delimiters that hardly ever stand inside a value: a text falls apart at them before its lattice is laid out, except within
+#: values that occur somewhere in quotes, as a JSON element or alone.
 STRONG = set(";；|,，、\n\r\t•▪●◦‣·")
-#: Delimiters that may also stand inside a value; the lattice decides.
-WEAK = re.compile(r"(\s+(?:and|AND|And|&)\s+|(?<=\S)/(?=\S))")
+#: Every delimiter at which a lattice may split.
+DELIMITER = re.compile(r"\s+(?:and|AND|And|&)\s+|(?<=\S)/(?=\S)|\s+/\s+|\s*[;；|,，、\n\r\t•▪●◦‣·]\s*")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 _OPEN, _CLOSE = "(（[", ")）]"
 _BULLET = re.compile(r"^(?:[-*–]\s+|\(?\d{1,3}[.)]\s+)+")
@@ -29,6 +30,13 @@ _VERSION = re.compile(r"\s+v?\d+(?:\.(?:\d+|x))*$")
 MIN_SHARE = 1e-4
 #: Log probabilities of a value outside the dictionary: to be one at all, of each of its characters, and of each edit that leads from it to an entry.
 UNSEEN, PER_CHAR, PER_EDIT = math.log(0.2), math.log(1 / 20), math.log(1e-3)
+#: How often a delimiter separates before anything is learned, and the range in which that is learned: below it, delimiters
+#: between two values nobody has seen would join them.
+EVEN, LEAST_SPLIT, MOST_SPLIT = 0.5, 0.25, 1 - 1e-6
+#: Rounds after which learning must have settled: the likelihood of the column changes by less than this share.
+ROUNDS, SETTLED = 50, 1e-5
+#: Marks that tell counts of delimiters (separating, inside a value) and the likelihood from counts of values.
+_SPLIT, _INSIDE, _LIKELY = "\x00s", "\x00i", "\x00l"
 
 
 def _closing(s: str, i: int) -> int:
@@ -49,31 +57,53 @@ def _closing(s: str, i: int) -> int:
     return -1
 
 
-def chunks(text: str) -> list[tuple[str, bool]]:
+def chunks(text: str, joined: frozenset[str] = frozenset()) -> list[tuple[str, bool]]:
     """The parts of a packed text between strong delimiters, in order, each with whether it is atomic.
 
-    JSON elements and quoted spans are atomic; delimiters in parentheses belong to their value.
+    JSON elements and quoted spans are atomic; delimiters in parentheses belong to their value. Parts that together are one
+    of the joined values stay together, for the lattice to decide.
     """
+    parts = _chunks(text)
+    if not joined or len(parts) < 2:
+        return [(c, atomic) for c, atomic, *_ in parts]
+    out, i, most = [], 0, max(len(DELIMITER.findall(j)) for j in joined) + 1
+    s = text.strip()
+    while i < len(parts):
+        for k in range(min(len(parts), i + most), i + 1, -1):
+            run = parts[i:k]
+            if not any(p[1] for p in run) and run[0][2] >= 0 and value_key(whole := s[run[0][2] : run[-1][3]]) in joined:
+                out.append((whole, False))
+                i = k
+                break
+        else:
+            out.append(parts[i][:2])
+            i += 1
+    return out
+
+
+def _chunks(text: str) -> list[tuple[str, bool, int, int]]:
+    """The parts between all strong delimiters: text, whether atomic, and where they stand (-1 in JSON)."""
     s = text.strip()
     if s.startswith("["):
         try:
-            flat: list[tuple[str, bool]] = []
+            flat: list[tuple[str, bool, int, int]] = []
             stack = [json.loads(s)]
             while stack:
                 x = stack.pop()
                 if isinstance(x, list):
                     stack.extend(reversed(x))
                 elif x is not None:
-                    flat.append((x if isinstance(x, str) else json.dumps(x, ensure_ascii=False), True))
+                    flat.append((x if isinstance(x, str) else json.dumps(x, ensure_ascii=False), True, -1, -1))
             return flat
         except ValueError:
             s = s.lstrip("[").rstrip("]")
     marks = _numbering(s)
+    cut_off = len(text.strip()) != len(s)
     out, start, i, atomic, parts = [], 0, 0, False, []
 
     def flush(to: int) -> None:
         nonlocal atomic, parts
-        out.append(("".join(parts) + s[start:to], atomic))
+        out.append(("".join(parts) + s[start:to], atomic, -1 if cut_off else start, to))
         atomic, parts = False, []
 
     while i < len(s):
@@ -161,13 +191,24 @@ def edits(a: str, b: str, most: int) -> int:
     return min(before[-1], most + 1)
 
 
+def _kind(delimiter: str) -> str:
+    """Delimiters that are learned together: blanks around and case aside, but a slash between blanks is another than one without."""
+    d = delimiter.strip().lower()
+    return " / " if d == "/" and delimiter != "/" else d or "\n"
+
+
 class Lattice:
-    """Most likely split of a chunk at its weak delimiters under learned value frequencies."""
+    """The ways to split a chunk at its delimiters, under learned frequencies of values and of delimiters that separate."""
 
-    def __init__(self, counts: dict[str, float]):
+    def __init__(self, counts: dict[str, float], splits: dict[str, float] | None = None):
         self.total = getattr(counts, "total", 0.0) or sum(counts.values()) or 1.0
         self.p = {k: math.log(n / self.total) for k, n in counts.items()}
-        self.joined = [k for k in self.p if WEAK.search(k)]
+        self.splits = dict(splits if splits is not None else getattr(counts, "splits", {}))
+        self.joined = [k for k in self.p if DELIMITER.search(k)]
+        #: Pieces of the longest value with delimiters; joining more than one beyond it is never likelier than splitting.
+        self.reach = max((len(DELIMITER.findall(k)) for k in self.joined), default=0) + 2
+        #: Values with a strong delimiter inside.
+        self.kept = frozenset(k for k in self.joined if any(c in STRONG for c in k))
         self.memo: dict[str, float] = {}
 
     def score(self, value: str, rare: dict[str, float] | None = None) -> float:
@@ -181,7 +222,7 @@ class Lattice:
         if k in self.memo:
             return self.memo[k]
         best = UNSEEN + PER_CHAR * len(k)
-        if WEAK.search(k):
+        if DELIMITER.search(k):
             first, _, rest = k.partition(" ")
             for text, extra in ((k, 0.0), (rest, UNSEEN + PER_CHAR * len(first) / 2)):
                 for j in self.joined:
@@ -193,27 +234,71 @@ class Lattice:
         self.memo[k] = best
         return best
 
+    def arcs(self, pieces: list[str], rare: dict[str, float] | None) -> list[tuple[int, int, str, float]]:
+        """(from, to, value, log probability) of every value that some pieces make, the delimiter before it and those inside included."""
+        n = len(pieces) // 2 + 1
+        at = [self.splits.get(_kind(d), EVEN) for d in pieces[1::2]]
+        out = []
+        for a in range(n):
+            w = math.log(at[a - 1]) if a else 0.0
+            for b in range(a + 1, min(n, a + self.reach) + 1):
+                if b > a + 1:
+                    w += math.log1p(-at[b - 2])
+                value = "".join(pieces[2 * a : 2 * b - 1])
+                out.append((a, b, value, w + self.score(value, rare)))
+        return out
+
     def split(self, chunk: str, rare: dict[str, float] | None = None) -> list[str]:
-        """rare: the counts of those pieces of chunk that are too rare for the dictionary."""
-        pieces = _weak_pieces(chunk)
+        """The most likely values, by Viterbi; of equally likely ones the shorter. rare: counts of pieces too rare for the dictionary."""
+        pieces = _pieces(chunk)
         n = len(pieces) // 2 + 1
         if n == 1 or chunk.strip().lower() in NULL_MARKS:
             return [chunk]
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, n + 1):
-            best.append(max(((best[a][0] + self.score("".join(pieces[2 * a : 2 * end - 1]), rare), a) for a in range(end)), key=lambda x: (x[0], x[1])))
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-math.inf, 0, "")] * n
+        for a, b, value, w in self.arcs(pieces, rare):
+            if (best[a][0] + w, a) > best[b][:2]:
+                best[b] = (best[a][0] + w, a, value)
         out, end = [], n
         while end:
-            a = best[end][1]
-            out.append("".join(pieces[2 * a : 2 * end - 1]))
-            end = a
+            out.append(best[end][2])
+            end = best[end][1]
         return out[::-1]
 
-
-def _weak_pieces(chunk: str) -> list[str]:
-    """chunk split at its weak delimiters outside parentheses: text, delimiter, text, ..."""
+    def expected(self, chunk: str, rare: dict[str, float] | None = None) -> dict[str, float]:
+        """Expected counts of the values of a chunk over all its splits, and of its delimiters, by forward and backward sums."""
+        pieces = _pieces(chunk)
+        n = len(pieces) // 2 + 1
+        arcs = self.arcs(pieces, rare)
+        ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for a, b, _, w in arcs:
+            ahead[b] = _plus(ahead[b], ahead[a] + w)
+        for a, b, _, w in sorted(arcs, key=lambda x: -x[0]):
+            behind[a] = _plus(behind[a], behind[b] + w)
+        out: dict[str, float] = {_LIKELY: ahead[n]}
+        for a, b, value, w in arcs:
+            share = math.exp(ahead[a] + w + behind[b] - ahead[n])
+            v = cleaned(value)
+            if share > 1e-4 and v is not None:
+                out[value_key(v)] = out.get(value_key(v), 0.0) + share
+        for i, d in enumerate(pieces[1::2], 1):
+            apart = math.exp(ahead[i] + behind[i] - ahead[n])
+            out[_SPLIT + _kind(d)] = out.get(_SPLIT + _kind(d), 0.0) + apart
+            out[_INSIDE + _kind(d)] = out.get(_INSIDE + _kind(d), 0.0) + 1 - apart
+        return out
+
+
+def _plus(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))."""
+    hi, lo = max(x, y), min(x, y)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+
+def _pieces(chunk: str) -> list[str]:
+    """chunk split at its delimiters outside parentheses: text, delimiter, text, ..."""
     out, at = [], 0
-    for m in WEAK.finditer(chunk):
+    for m in DELIMITER.finditer(chunk):
+        if m.start() < at or not chunk[at : m.start()].strip() or not chunk[m.end() :].strip():
+            continue
         head = chunk[: m.start()]
         if sum(head.count(c) for c in _OPEN) > sum(head.count(c) for c in _CLOSE):
             continue
@@ -223,8 +308,8 @@ def _weak_pieces(chunk: str) -> list[str]:
 
 
 def candidate_keys(chunk: str) -> set[str]:
-    """The keys of everything that a split of the chunk can make a value; none if it has no weak delimiter."""
-    pieces = _weak_pieces(chunk)
+    """The keys of everything that a split of the chunk can make a value; none if it has no delimiter."""
+    pieces = _pieces(chunk)
     n = len(pieces) // 2 + 1
     return {value_key("".join(pieces[2 * a : 2 * end - 1])) for end in range(1, n + 1) for a in range(end)} if n > 1 else set()
 
@@ -232,35 +317,40 @@ def candidate_keys(chunk: str) -> set[str]:
 def split_values(text: str | None, lattice: Lattice, rare: dict[str, float] | None = None) -> list[str]:
     if not text:
         return []
-    parts = (p for c, atomic in chunks(text) for p in ([c] if atomic else lattice.split(c, rare)))
+    parts = (p for c, atomic in chunks(text, lattice.kept) for p in ([c] if atomic else lattice.split(c, rare)))
     return [v for v in map(cleaned, parts) if v is not None]
 
 
 class Model(dict):
-    """Counts of the frequent values; total counts all values, and rare (k, n) holds those below MIN_SHARE, or is None if there are none."""
+    """Counts of the frequent values; total counts all values, splits has how often each delimiter separates, and rare (k, n)
+    holds the values below MIN_SHARE, or is None if there are none."""
 
     total: float = 0.0
     rare: DataFrame | None = None
 
+    def __init__(self, *args: object, **kw: float):
+        super().__init__(*args, **kw)
+        self.splits: dict[str, float] = {}
+
 
 def _rare(ks: list[str] | None, ns: list[float] | None) -> dict[str, float] | None:
     return None if ks is None else dict(zip(ks, ns, strict=True))
 
 
-def _segmented(lattice: Lattice):  # noqa: ANN202
-    @F.pandas_udf("array<string>")
-    def segmented(s: pd.Series, ks: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([[value_key(v) for p in lattice.split(c, _rare(k, n)) if (v := cleaned(p)) is not None] for c, k, n in zip(s, ks, ns, strict=True)], dtype=object)
+def _expectations(lattice: Lattice):  # noqa: ANN202
+    @F.pandas_udf("array<struct<k:string,n:double>>")
+    def expectations(s: pd.Series, times: pd.Series, ks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": key, "n": v * t} for key, v in lattice.expected(c, _rare(k, n)).items()] for c, t, k, n in zip(s, times, ks, ns, strict=True)], dtype=object)
 
-    return segmented
+    return expectations
 
 
-def _candidates(whole: bool):  # noqa: ANN202
+def _candidates(whole: bool, kept: frozenset[str] = frozenset()):  # noqa: ANN202
     """The candidate keys of a chunk, or of all chunks of a whole text."""
 
     @F.pandas_udf("array<string>")
     def candidates(s: pd.Series) -> pd.Series:
-        return pd.Series([sorted({k for c, atomic in (chunks(t) if whole else [(t, False)]) if not atomic for k in candidate_keys(c)}) for t in s], dtype=object)
+        return pd.Series([sorted({k for c, atomic in (chunks(t, kept) if whole else [(t, False)]) if not atomic for k in candidate_keys(c)}) for t in s], dtype=object)
 
     return candidates
 
@@ -271,52 +361,72 @@ def _rare_pieces(pieces: DataFrame, by: str, rare: DataFrame) -> DataFrame:
     return found.select(by, F.col("x.k").alias("ks"), F.col("x.rare_n").alias("ns"))
 
 
-def learn_lattice(texts: DataFrame, column: str, rounds: int = 20) -> Model:
-    """Value frequencies of the whole column by expectation maximisation.
+def learn_lattice(texts: DataFrame, column: str) -> Model:
+    """Frequencies of the values of a whole column, and of delimiters that separate, by expectation maximisation.
 
-    Values without weak delimiters, JSON elements and quoted spans are counted once and for all; chunks with weak
-    delimiters are split by the current frequencies (each text counted as often as it occurs) and recounted until the
-    counts stay the same. Only values with MIN_SHARE of all values leave the executors, at most 1 / MIN_SHARE of them; the
-    rarer ones stay in a table, in which the candidate pieces of each chunk are looked up.
+    Values without delimiters, JSON elements and quoted spans are counted once and for all. Each round, chunks with delimiters
+    give every value that some split makes the share of that split in all their splits under the current frequencies (each
+    text counted as often as it occurs), until the likelihood settles; if it doesn't, an error is raised. Only values with
+    MIN_SHARE of all values leave the executors, at most 1 / MIN_SHARE of them; the rarer ones stay in a table, in which the
+    candidate pieces of each chunk are looked up.
     """
 
-    @F.pandas_udf("array<struct<k:string,open:boolean>>")
-    def lexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            rows = []
-            for t in s:
-                row = []
-                for c, atomic in chunks(t) if t else []:
-                    v = cleaned(c)
-                    if v is not None:
-                        row.append({"k": c, "open": True} if not atomic and len(_weak_pieces(c)) > 1 else {"k": value_key(v), "open": False})
-                rows.append(row)
-            yield pd.Series(rows, dtype=object)
-
-    distinct = texts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    parts = cut(distinct.select("n", F.explode(lexed(column)).alias("x")).groupBy("x.k", "x.open").agg(F.sum("n").alias("n")))
-    fixed, ambiguous = parts.where(~F.col("open")).select("k", "n"), parts.where("open")
-
-    def model(counts: DataFrame) -> tuple[Model, tuple]:
+    def parts_of(kept: frozenset[str]) -> DataFrame:
+        @F.pandas_udf("array<struct<k:string,open:boolean>>")
+        def lexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                rows = []
+                for t in s:
+                    row = []
+                    for c, atomic in chunks(t, kept) if t else []:
+                        v = cleaned(c)
+                        if v is not None:
+                            row.append({"k": c, "open": True} if not atomic and len(_pieces(c)) > 1 else {"k": value_key(v), "open": False})
+                    rows.append(row)
+                yield pd.Series(rows, dtype=object)
+
+        return cut(distinct.select("n", F.explode(lexed(column)).alias("x")).groupBy("x.k", "x.open").agg(F.sum("n").alias("n")))
+
+    def model(counts: DataFrame, splits: dict[str, float]) -> Model:
         counts = cut(counts)
-        total, n, print_ = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.xxhash64("k", "n").cast("decimal(38,0)"))).first()
-        least = max((total or 0) * MIN_SHARE, 1)
+        total, n = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+        least = max((total or 0) * MIN_SHARE, 0.5)
         out = Model({r.k: float(r.n) for r in counts.where(F.col("n") >= least).collect()})
-        out.total, out.rare = float(total or 0), counts.where(F.col("n") < least) if n > len(out) else None
-        return out, (total, n, print_)
+        out.total, out.splits, out.rare = float(total or 0), splits, counts.where((F.col("n") < least) & (F.col("n") >= 0.5)) if n > len(out) else None
+        return out
 
-    found, seen = model(fixed)
-    pieces = cut(ambiguous.select(F.col("k").alias("chunk"), F.explode(_candidates(False)("k")).alias("k")))
+    distinct = texts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    parts = parts_of(frozenset())
+    fixed = parts.where(~F.col("open")).select("k", F.col("n").cast("double").alias("n"))
+    found = model(fixed, {})
+    if kept := Lattice(found).kept:
+        parts = parts_of(kept)
+        fixed = parts.where(~F.col("open")).select("k", F.col("n").cast("double").alias("n"))
+        found = model(fixed, {})
+    ambiguous = parts.where("open").select("k", "n")
+    pieces = None
     nothing = F.lit(None).cast("array<string>").alias("ks"), F.lit(None).cast("array<double>").alias("ns")
-    for _ in range(rounds):
-        asked = ambiguous.select("k", "n")
-        asked = asked.select("*", *nothing) if found.rare is None else asked.join(_rare_pieces(pieces, "chunk", found.rare).withColumnRenamed("chunk", "k"), "k", "left")
-        again = asked.select("n", F.explode(_segmented(Lattice(found))("k", "ks", "ns")).alias("k")).groupBy("k").agg(F.sum("n").alias("n"))
-        before = seen
-        found, seen = model(fixed.unionByName(again.select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")))
-        if seen == before:
-            break
-    return found
+    before = -math.inf
+    for _ in range(ROUNDS):
+        if found.rare is None:
+            asked = ambiguous.select("*", *nothing)
+        else:
+            pieces = cut(ambiguous.select(F.col("k").alias("chunk"), F.explode(_candidates(False)("k")).alias("k"))) if pieces is None else pieces
+            asked = ambiguous.join(_rare_pieces(pieces, "chunk", found.rare).withColumnRenamed("chunk", "k"), "k", "left")
+        shares = asked.select(F.explode(_expectations(Lattice(found))("k", "n", "ks", "ns")).alias("x"))
+        again = cut(shares.groupBy("x.k").agg(F.sum("x.n").alias("n")))
+        marks = {r.k: r.n for r in again.where(F.col("k").startswith("\x00")).collect()}
+        likely = marks.pop(_LIKELY, 0.0)
+        if before != -math.inf and abs(likely - before) <= SETTLED * max(abs(before), 1.0):
+            return found
+        before = likely
+        splits = {}
+        for k, n in marks.items():
+            if k.startswith(_SPLIT):
+                d = k[len(_SPLIT) :]
+                splits[d] = min(max((n + EVEN) / (n + marks.get(_INSIDE + d, 0.0) + 1), LEAST_SPLIT), MOST_SPLIT)
+        found = model(fixed.unionByName(again.where(~F.col("k").startswith("\x00")).select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")), splits)
+    raise RuntimeError(f"value frequencies not settled after {ROUNDS} rounds")
 
 
 def unpack(rows: DataFrame, column: str, keys: list[str], value: str = "value", model: dict[str, float] | None = None) -> DataFrame:
@@ -342,7 +452,7 @@ def unpack(rows: DataFrame, column: str, keys: list[str], value: str = "value",
         return at.select(*keys, F.posexplode(split(column)).alias("pos", value))
     weak = F.coalesce(F.col(column).rlike(r"(?U)\s(?:and|AND|And|&)\s|/"), F.lit(False))
     texts = cut(at.where(weak).groupBy(F.col(column).alias("__text")).agg(F.count(F.lit(1)).alias("n")))
-    found = _rare_pieces(texts.select("__text", F.explode(_candidates(True)("__text")).alias("k")), "__text", rare)
+    found = _rare_pieces(texts.select("__text", F.explode(_candidates(True, lattice.kept)("__text")).alias("k")), "__text", rare)
     known = cut(texts.join(found, "__text", "left"))
     asked = lookup(at.where(weak).withColumn("__text", F.col(column)), known, ["__text"], "n")
     plain = at.where(~weak).select(*keys, F.posexplode(split(column)).alias("pos", value))
