@@ -2,58 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corrobora.functions.values import value_or_null
 from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
+#: Neighbours of one vertex (two numbers each) that one task may sort; as soon as one has more, hot vertices are met by a bounded broadcast.
+GATHER = 100_000
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+
+def _with_low(rows: DataFrame, hot: bool, total: int) -> DataFrame:
+    """rows (u, v) with the smallest v of each u as m: by one shuffle if no u has many rows, else by a lookup of its minimum."""
+    if not hot:
+        return rows.withColumn("m", F.min("v").over(W.partitionBy("u")))
+    rows = cut(rows)
+    return lookup(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), ["u"], "n", total)
+
+
+def _large_star(edges: DataFrame, hot: bool, total: int) -> DataFrame:
     """Every neighbour v > u of u is linked to the smallest member of u's neighbourhood (u included)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    hung = lookup(both.where(F.col("v") > F.col("u")), low, ["u"], "n", 2 * n_edges)
-    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_low(both, hot, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool, total: int) -> DataFrame:
     """Every neighbour v < u of u, and u itself, is linked to the smallest such neighbour. Edges have u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    hung = lookup(edges, low, ["u"], "n", n_edges)
-    moved = hung.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    near = _with_low(edges, hot, total)
+    # u itself and the neighbours that are not m; where v is m, v is put in the place of u.
+    ends = F.explode(F.array(F.col("u"), F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")))).alias("u")
+    return near.select(ends, F.col("m").alias("v")).distinct()
+
 
+def _written(edges: DataFrame, instead_of: DataFrame | None = None) -> tuple[DataFrame, tuple[int, int]]:
+    """edges with their lineage cut, their number and an order-free fingerprint, both taken while they are written."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), instead_of)
+    return out, (seen.get["n"] or 0, int(seen.get["h"] or 0))
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Number of edges and an order-free fingerprint of them."""
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], int(r[1] or 0)
 
+def _crowded(edges: DataFrame, n: int) -> bool:
+    """Whether a vertex has more than GATHER neighbours; so few edges as that need no look."""
+    if n <= GATHER:
+        return False
+    return bool(edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").count().where(F.col("count") > GATHER).limit(1).count())
 
-def star_components(links: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
+
+def star_edges(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(u, v): each vertex of the edges (u > v, any comparable type) but the smallest of its component, with that one.
+
+    Large-star and small-star rewrites alternate until neither changes an edge. As long as no vertex has more than GATHER
+    neighbours, each rewrite costs one shuffle; beyond that, those with a large share of all edges are met by a broadcast.
+    """
+    edges, state = _written(edges.distinct())
+    for _ in range(max_rounds):
+        if not state[0]:
+            return edges
+        hot, last = _crowded(edges, state[0]), state
+        edges, state = _written(_small_star(_large_star(edges, hot, state[0]), hot, state[0]), instead_of=edges)
+        if state == last:
+            return edges
+    raise RuntimeError(f"components not stable after {max_rounds} rounds")
+
+
+def numbered(ids: DataFrame, name: str) -> DataFrame:
+    """(name, number): the distinct ids with numbers in their byte order: sorted by ranges, numbered within them."""
+    own = ids.select(name).where(F.col(name).isNotNull()).distinct()
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(own.repartitionByRange(parts, name).sortWithinPartitions(name).withColumn("number", F.monotonically_increasing_id()))
+
+
+def star_components(links: DataFrame, left: str, right: str, ids: DataFrame | None = None) -> DataFrame:
     """(id, group_id): the smallest id, in byte order, of each component of the undirected links.
 
-    Large-star and small-star rewrites alternate until neither changes an edge; then each id hangs on its component's
-    smallest id. Each rewrite is a partial aggregate and a join whose hot vertices travel as a bounded broadcast, so no
-    vertex gathers its neighbours in one task. Self links and nulls link nothing; ids without a link are not returned.
+    The rewrites run over numbers in the order of the ids, which are smaller and faster to compare and to fold. Self links and
+    nulls link nothing; ids without a link are not returned. ids: (id, number) as from numbered(), if they are known.
     """
     a, b = F.col(left), F.col(right)
-    edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = cut(edges)
-    mark = _mark(edges)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        edges = cut(_small_star(_large_star(edges, mark[0]), mark[0]))
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("group_id", F.col("id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(roots)
+    links = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("l"), b.alias("r")).distinct()
+    if ids is None:
+        links = cut(links)
+        ids = numbered(links.select(F.explode(F.array("l", "r")).alias("id")), "id")
+    name = lambda c, n: ids.select(F.col("id").alias(c), F.col("number").alias(n))
+    edges = links.join(name("l", "x"), "l").join(name("r", "y"), "r").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    done = cut(star_edges(edges))
+    members = done.unionByName(done.select(F.col("v").alias("u"), "v").distinct())
+    roots = done.groupBy("v").agg((F.count(F.lit(1)) + 1).alias("n")).join(name("group_id", "v"), "v")
+    return lookup(members.join(name("id", "u"), "u").select("id", "v"), roots, ["v"], "n").select("id", "group_id")
 
 
 def match_groups(pairs: DataFrame) -> DataFrame:
@@ -63,6 +100,7 @@ def match_groups(pairs: DataFrame) -> DataFrame:
     merged, case and blanks aside. A record without a link is its own group. Repeated, turned and half rows are fine.
     """
     p = pairs.select(value_or_null(F.col("left_record")).alias("l"), value_or_null(F.col("right_record")).alias("r"), F.lower(value_or_null(F.col("outcome"))).alias("o"))
-    ids = p.select(F.explode(F.array("l", "r")).alias("record_id")).where(F.col("record_id").isNotNull()).distinct()
-    groups = star_components(p.where(F.col("o") == "merged"), "l", "r").withColumnRenamed("id", "record_id")
-    return ids.join(groups, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
+    p = cut(p.groupBy("l", "r").agg(F.bool_or(F.coalesce(F.col("o") == "merged", F.lit(False))).alias("linked")))
+    ids = numbered(p.select(F.explode(F.array("l", "r")).alias("id")), "id")
+    groups = star_components(p.where("linked"), "l", "r", ids)
+    return ids.select(F.col("id").alias("record_id")).join(groups.withColumnRenamed("id", "record_id"), "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
