@@ -22,6 +22,8 @@ ENTITY = "candidateRef"
 ACCEPT = 0.5
 #: Parts of names and of contents in what a pair starts from, and how much of its neighbours' similarity flows into a pair.
 NAMES, CONTENTS, FLOW = 0.25, 0.75, 0.8
+#: Pairs of keys of one step among which none may agree by mere chance.
+COMPARED = 32
 #: Rounds after which flooding must have settled to within SETTLED.
 ROUNDS, SETTLED = 500, 1e-6
 #: Renamed keys that the consistent table may know; the mapping of that many goes to the executors.
@@ -144,9 +146,10 @@ def _evidence(a: str, b: str, agree: tuple[int, int, int], inner_a: set[str], in
     shared, same, kinds = agree
     names = dice(trigrams(a), trigrams(b))
     if shared:
-        chance = 1 / max(kinds, 2)
+        # Contents that don't repeat come from many more than were seen.
+        chance = 1 / max(kinds, 2) if kinds < shared else min(0.5, 2 / kinds**2)
         lift = max(0.0, (same / shared - chance) / (1 - chance))
-        return NAMES * names + CONTENTS * lift**2 * (1 - chance**same)
+        return NAMES * names + CONTENTS * lift**2 * (1 - chance**same) ** COMPARED
     both = inner_a & inner_b
     return CONTENTS * max(names, len(both) / len(inner_a | inner_b) if len(both) >= 2 else 0.0)
 

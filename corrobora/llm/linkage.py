@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.functions.values import NULL_MARKS
-from corrobora.llm.groups import star_components
+from corrobora.llm.groups import star_edges
 from corrobora.operators.layout import spread
 from corrobora.operators.packed import edits
 from corrobora.operators.skew import lookup
@@ -25,8 +25,10 @@ CONTEXT = 12
 SLICE = 200
 #: A pair is kept if its weight is at least this share of the heaviest pair of either of its records.
 KEEP = 0.25
-#: Log odds from which a pair is a match, and what a confident neighbour adds to a pair of its group.
-MATCH, NEIGHBOUR = 3.5, 1.5
+#: Log odds from which a pair is a match, and to which names contradict each other.
+MATCH, CONTRARY = 3.5, -5.0
+#: How much of its neighbours' log odds flows into a pair each round, and the change below which it has settled.
+FLOW, SETTLED = 0.3, 0.01
 #: Titles, degrees and legal forms that are no part of a name.
 TITLES = frozenset("dr mr mrs ms mx miss prof sir dame herr frau mme m".split())
 DEGREES = frozenset("pmp mba phd cpa md msc bsc ma ba jr sr ii iii cfa esq dds rn pe".split())
@@ -67,13 +69,13 @@ def _untitled(words: list[str]) -> list[str]:
 
 
 def mailboxes(*raw: str | None) -> list[str]:
-    """Names before the @ of all addresses, without +tags, however the address is wrapped."""
+    """All addresses as name@domain, without +tags, however the address is wrapped."""
     out: list[str] = []
     for r in raw:
         if (s := value(r)) is not None:
             s = re.sub(r"\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+", "@", re.sub(r"\s*[\[({]\s*dot\s*[\])}]\s*", ".", plain(s)))
-            out += [m.group(1).split("+")[0].strip(".-_") for m in _ADDRESS.finditer(s.replace("mailto:", " "))]
-    return sorted({x for x in out if x})
+            out += [f"{m.group(1).split('+')[0].strip('.-_')}@{m.group(2).strip('.-')}" for m in _ADDRESS.finditer(s.replace("mailto:", " "))]
+    return sorted({x for x in out if not x.startswith("@")})
 
 
 def phone_digits(raw: str | None) -> list[str]:
@@ -119,6 +121,7 @@ def identifiers(c: str = "") -> list[Column]:
     """Attributes that alone may lead to a person: mailbox, end of the mailbox with a name, phone."""
     name, mail, phone = F.col(f"{c}name"), F.col(f"{c}mail"), F.col(f"{c}phone")
     last = F.substring(F.coalesce(F.get(name, F.size(name) - 1), F.lit("")), 1, 2)
+    mail = F.array_distinct(F.transform(mail, lambda m: F.substring_index(m, "@", 1)))
     return [
         F.transform(mail, lambda m: F.concat(F.lit("e:"), m)),
         F.transform(F.filter(mail, lambda m: F.length(m) >= 6), lambda m: F.concat(F.lit("t:"), F.substring(m, -3, 3), F.lit("|"), last)),
@@ -234,14 +237,20 @@ def mail_tails(box: str, names: list[str]) -> set[str]:
 
 
 def mail_score(a: list[str], b: list[str], names: list[str]) -> float:
-    """Log odds of two sets of own mailboxes: one in common, one with the same end besides the names of both records, a typo apart, or different ones.
+    """Log odds of two sets of own addresses: one in common, one with the same name before the @ or the same end of it besides
+    the names of both records, a typo apart, or different ones.
 
-    A typo in the end itself says nothing either way, as neighbours in a numbering differ so too.
+    At another domain the same name before the @ says as much as the address only if more is in it than the names: of people
+    of one name many call themselves by it. A typo in the end itself says nothing either way, as neighbours in a numbering
+    differ so too.
     """
     if not a or not b:
         return 0.0
     if set(a) & set(b):
         return 7.0
+    a, b = [x.partition("@")[0] for x in a], [y.partition("@")[0] for y in b]
+    if same := set(a) & set(b):
+        return 7.0 if any(len(e) > 1 for x in same for e in mail_tails(x, names)) else 0.5
     ends = {e for x in a for e in mail_tails(x, names)} & {e for y in b for e in mail_tails(y, names)}
     if any(len(e) > 1 for e in ends) or any(len(x) >= 6 and len(y) >= 6 and x[-3:] == y[-3:] for x in a for y in b):
         return 5.0
@@ -302,30 +311,42 @@ def own_identifiers(nodes: DataFrame) -> DataFrame:
     return nodes.drop("mail", "phone").join(sets, "node", "left").withColumns({"mail": F.coalesce("mail", none), "phone": F.coalesce("phone", none)})
 
 
-def refined(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """edges with their groups (gx, gy) and log odds after neighbours have spoken, once stable.
+def labelled(edges: DataFrame) -> DataFrame:
+    """edges with the groups gx, gy that matches tie their ends to; an end without a match is its own group."""
+    ties = star_edges(edges.where(F.col("s") >= MATCH).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+    at = edges.drop("gx", "gy")
+    for end in ("x", "y"):
+        at = at.join(ties.select(F.col("u").alias(end), F.col("v").alias(f"g{end}")), end, "left").withColumn(f"g{end}", F.coalesce(f"g{end}", end))
+    return at
 
-    Matches tie nodes to groups. An open edge (not contradicted by a name, an address and a phone together: odds above 0)
-    between two groups gains NEIGHBOUR if another edge between the same groups supports it; edges that thereby become
-    matches tie their groups, until no edge changes.
+
+def refined(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """edges (x, y, weight, s) with their groups gx, gy and s after the neighbours have spoken, once that is stable.
+
+    Pairs between the same two groups are neighbours: those that speak for a link (log odds above 0) but not enough each gain
+    FLOW of the mean of the others, round by round, so several half-sure pairs sustain each other. Pairs within a group are
+    neighbours where they share a record: a tie loses FLOW of what a contradiction (CONTRARY or less) at either end says
+    against the group, so a chain breaks at its weakest tie. Pairs only rise or only fall; whenever some become or cease to be
+    matches, groups are made anew.
     """
-    now = cut(edges.withColumn("s0", F.col("s")))
-    ties = -1
+    now = cut(labelled(edges.withColumns({"s0": F.col("s"), "fell": F.lit(False)})))
     for _ in range(max_rounds):
-        sure = now.where(F.col("s") >= MATCH)
-        n = sure.count()
-        comp = cut(star_components(sure, "x", "y"))
-        at = now.join(comp.select(F.col("id").alias("x"), F.col("group_id").alias("gx")), "x", "left").join(comp.select(F.col("id").alias("y"), F.col("group_id").alias("gy")), "y", "left")
-        at = at.withColumns({"gx": F.coalesce("gx", "x"), "gy": F.coalesce("gy", "y")})
-        if n == ties:
-            return at
-        ties = n
         low, high = F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")
-        between = at.where((F.col("s0") > 0) & (F.col("gx") != F.col("gy"))).groupBy(low, high).agg(F.count(F.lit(1)).alias("n"), F.max("s0").alias("best"))
-        met = at.withColumns({"a": F.least("gx", "gy"), "b": F.greatest("gx", "gy")}).join(between, ["a", "b"], "left")
-        helped = (F.col("s") < MATCH) & (F.col("s0") > 0) & (F.col("n") >= 2)
-        now = cut(met.select("x", "y", "weight", "s0", F.when(helped, F.greatest(F.col("s"), F.col("s0") + NEIGHBOUR)).otherwise(F.col("s")).alias("s")))
-    raise RuntimeError("neighbour scores not stable")
+        open_ = now.where((F.col("gx") != F.col("gy")) & (F.col("s0") > 0) & ~F.col("fell"))
+        between = open_.groupBy(low, high).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("sum")).where("n > 1")
+        against = now.where((F.col("gx") == F.col("gy")) & (F.col("s0") <= CONTRARY))
+        said = against.select(F.explode(F.array("x", "y")).alias("end"), F.col("gx").alias("g"), "s0").groupBy("g", "end").agg(F.min("s0").alias("no"))
+        up = open_.select("x", "y", "s", "s0", low, high).join(between, ["a", "b"]).select("x", "y", (F.col("s0") + FLOW * (F.col("sum") - F.col("s")) / (F.col("n") - 1)).alias("to"), F.lit(False).alias("down"))
+        ties = now.where((F.col("gx") == F.col("gy")) & (F.col("s") >= MATCH)).select("x", "y", "s0", F.col("gx").alias("g"), F.explode(F.array("x", "y")).alias("end"))
+        down = ties.join(said, ["g", "end"]).groupBy("x", "y").agg(F.min(F.col("s0") + FLOW * F.col("no")).alias("to")).withColumn("down", F.lit(True))
+        moves = cut(up.unionByName(down).join(now.select("x", "y", "s"), ["x", "y"]).where(F.abs(F.col("to") - F.col("s")) > SETTLED).where((F.col("to") > F.col("s")) | F.col("down")))
+        crossing = moves.agg(F.count(F.lit(1)), F.count_if((F.col("to") >= MATCH) != (F.col("s") >= MATCH))).first()
+        if not crossing[0]:
+            return now
+        moved = now.join(moves.select("x", "y", "to", "down"), ["x", "y"], "left")
+        moved = moved.withColumns({"s": F.coalesce("to", "s"), "fell": F.col("fell") | F.coalesce("down", F.lit(False))}).drop("to", "down")
+        now = cut(labelled(cut(moved)) if crossing[1] else moved, instead_of=now)
+    raise RuntimeError(f"neighbour similarities not settled after {max_rounds} rounds")
 
 
 def linked_people(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -336,24 +357,35 @@ def linked_people(left: DataFrame, right: DataFrame) -> DataFrame:
     edge or, if they are tied through others only, of the weakest tie of their group. Empty tables give no rows;
     records without any value match nothing; repeated record ids are one.
     """
-    all_ = left.select("record_id", "name", "mail", "phone", "employer", F.lit(0).alias("side")).unionByName(right.select("record_id", "name", "mail", "phone", "employer", F.lit(1).alias("side")))
-    said = F.to_json(F.struct("name", "mail", "phone", "employer"))
-    all_ = cut(all_.withColumn("node", F.sha2(said, 256)).withColumn("node", F.substring("node", 1, 24)))
-    nodes = all_.groupBy("node").agg(*[F.first(c).alias(c) for c in ("name", "mail", "phone", "employer")])
-    nodes = cut(nodes.where((F.size("name") > 0) | (F.size("mail") > 0) | (F.size("phone") > 0)))
+    cols = ("name", "mail", "phone", "employer")
+    all_ = left.select("record_id", *cols, F.lit(0).alias("side")).unionByName(right.select("record_id", *cols, F.lit(1).alias("side")))
+    all_ = all_.where((F.size("name") > 0) | (F.size("mail") > 0) | (F.size("phone") > 0))
+    all_ = cut(all_.withColumn("said", F.substring(F.sha2(F.to_json(F.struct(*cols)), 256), 1, 32)))
+    nodes = cut(all_.groupBy("said").agg(*[F.first(c).alias(c) for c in cols]).withColumn("node", F.monotonically_increasing_id()))
+    copies = all_.groupBy("said").agg(F.count(F.lit(1)).alias("n")).join(nodes.select("said", "node"), "said")
+    records = lookup(all_.select("record_id", "said", "side"), copies, ["said"], "n").select("record_id", "node", "side").distinct()
+    nodes = nodes.drop("said")
     own = cut(own_identifiers(nodes))
-    edges = scored(candidate_pairs(nodes, own), own)
-    final = cut(refined(edges))
-    sure = final.where(F.col("s") >= MATCH)
-    comp = sure.select(F.col("x").alias("node"), F.col("gx").alias("g")).unionByName(sure.select(F.col("y").alias("node"), F.col("gy").alias("g"))).distinct()
-    weakest = sure.groupBy(F.col("gx").alias("g")).agg(F.min("s").alias("weakest"))
-    member = all_.select("record_id", "node", "side").distinct().join(comp, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    a = member.where("side = 0").select("g", F.col("record_id").alias("left_id"), F.col("node").alias("na"))
-    b = member.where("side = 1").select("g", F.col("record_id").alias("right_id"), F.col("node").alias("nb"))
-    met = a.join(b, "g").join(nodes.select(F.col("node").alias("na"), F.size("name").alias("known")), "na").withColumns({"x": F.least("na", "nb"), "y": F.greatest("na", "nb")})
+    final = refined(cut(scored(candidate_pairs(nodes, own), own)))
+    sure = cut(final.where(F.col("s") >= MATCH).select("x", "y", "s", F.col("gx").alias("g")))
+    home = sure.select(F.explode(F.array("x", "y")).alias("node"), "g").distinct()
+    weakest = sure.groupBy("g").agg(F.min("s").alias("weakest"))
+    member = cut(records.join(home, "node", "left").withColumn("g", F.coalesce("g", "node")))
+    met = across(member.where("side = 0").drop("side"), member.where("side = 1").drop("side"))
+    met = met.withColumns({"x": F.least("na", "nb"), "y": F.greatest("na", "nb")})
     tied = met.join(sure.select("x", "y", "s"), ["x", "y"], "left").join(weakest, "g", "left")
     odds = F.when(F.col("x") == F.col("y"), F.lit(9.0)).otherwise(F.coalesce("s", "weakest"))
-    return tied.select("left_id", "right_id", F.round(1 / (1 + F.exp(-odds)), 4).alias("confidence")).distinct()
+    return tied.select("left_id", "right_id", F.round(1 / (1 + F.exp(-odds)), 4).alias("confidence"))
+
+
+def across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(g, left_id, na, right_id, nb): all pairs of a left and a right member of each group, large groups in slices of the left side."""
+    slices = left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (10 * SLICE)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("record_id"), F.coalesce("n", F.lit(1))).cast("int")
+    big = slices.where("n > 1")
+    a = left.join(big, "g", "left").select("g", own.alias("i"), F.col("record_id").alias("left_id"), F.col("node").alias("na"))
+    b = right.join(big, "g", "left").select("g", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("i"), F.col("record_id").alias("right_id"), F.col("node").alias("nb"))
+    return a.join(b, ["g", "i"]).drop("i")
 
 
 def ats_people(ats: DataFrame) -> DataFrame:

@@ -75,13 +75,84 @@ def test_short_nodes_meet_each_node_once(spark):
     assert got == sorted((f"n{i:03d}", f"n{j:03d}") for j in range(450) for i in range(j) if 7 in (i % 100, j % 100))
 
 
+EDGES = [
+    # Two people with half-sure pairs that sustain each other, and one pair that stands alone.
+    (1, 2, 6.0), (3, 4, 6.0), (1, 3, 3.2), (2, 4, 3.0), (50, 51, 3.2),
+    # A chain of three whose ends contradict each other: the weak tie breaks, the strong one stays.
+    (10, 11, 9.0), (11, 12, 3.8), (10, 12, -8.0),
+    # A pair of groups with one half-sure pair only.
+    (20, 21, 7.0), (22, 23, 7.0), (20, 22, 3.3),
+]
+
+
+def refined_edges(spark):
+    edges = spark.createDataFrame([(x, y, 1.0, s) for x, y, s in EDGES], "x bigint, y bigint, weight double, s double")
+    return {(r.x, r.y): (r.gx == r.gy, r.s >= linkage.MATCH) for r in linkage.refined(edges).collect()}
+
+
+def test_neighbours_decide(spark, monkeypatch):
+    got = refined_edges(spark)
+    assert all(got[p] == (True, True) for p in [(1, 2), (3, 4), (1, 3), (2, 4), (10, 11), (20, 21), (22, 23)])
+    assert got[50, 51] == got[11, 12] == got[20, 22] == (False, False)
+    monkeypatch.setattr(linkage, "FLOW", 0.0)
+    off = refined_edges(spark)
+    assert off[1, 3] == off[2, 4] == (False, False) and off[11, 12] == (True, True)
+
+
+def test_equal_names_before_the_at_sign_at_other_domains(spark):
+    ats = [("a1", "John Smith", "john.smith@a.example", None, None, "Kite Labs"), ("a2", "Mira Solano", "mira.solano4k2@a.example", None, None, None)]
+    roster = [("r1", "John Smith", "john.smith@b.example", None, "Other Corp"), ("r2", "Mira Solano", "mira.solano4k2@b.example", None, None), ("r3", "Joan Smith", "john.smith@b.example", None, None)]
+    assert set(linked(spark, ats, roster)) == {("a2", "r2")}
+
+
+def test_large_groups_are_paired_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "SLICE", 3)
+    left = spark.createDataFrame([(f"a{i}", i, 7) for i in range(70)] + [("b", 99, 8)], "record_id string, node bigint, g bigint")
+    right = spark.createDataFrame([(f"r{i}", i, 7) for i in range(9)] + [("s", 99, 8)], "record_id string, node bigint, g bigint")
+    got = sorted((r.left_id, r.right_id) for r in linkage.across(left, right).collect())
+    assert got == sorted([(f"a{i}", f"r{j}") for i in range(70) for j in range(9)] + [("b", "s")])
+
+
+def planted(n, seed):
+    """Groups of records with known truth: alone, same address, same number only, a chain through three records, and namesakes."""
+    rnd = random.Random(seed)
+    syll = ["ba", "ke", "li", "mo", "nu", "ra", "se", "ti", "vo", "zu"]
+    word = lambda k: "".join(rnd.choice(syll) for _ in range(k)).title()
+    ats, roster, truth = [], [], set()
+    for i in range(n):
+        first, last, tail, phone, org = word(2), word(3), f"{i:03d}x", f"555 {rnd.randrange(100, 1000)} {i:04d}", word(3)
+        box = f"{first}.{last}{tail}@post.example".lower()
+        kind = rnd.choices(["alone", "mail", "phone", "chain", "namesake"], [70, 18, 6, 4, 2])[0]
+        ats.append((f"a{i}", f"{first} {last}", box, None, phone if kind in ("phone", "chain") else None, org))
+        if kind == "mail":
+            roster.append((f"r{i}", f"{last}, {first}", f"<{box.upper()}>", None, None))
+        elif kind == "phone":
+            roster.append((f"r{i}", f"{first} {last}", None, f"+1-{phone.replace(' ', '-')}", org))
+        elif kind == "chain":
+            roster.append((f"r{i}", f"{first} {last}", box, None, org))
+            roster.append((f"s{i}", f"{first[0]}. {last}", None, phone, org))
+            truth.add((f"a{i}", f"s{i}"))
+        elif kind == "namesake":
+            roster.append((f"r{i}", f"{first} {last}", f"{first}.{last}{i:03d}q@other.example".lower(), f"444 {rnd.randrange(100, 1000)} {i:04d}", word(3)))
+        if kind in ("mail", "phone", "chain"):
+            truth.add((f"a{i}", f"r{i}"))
+    return ats, roster, truth
+
+
+def test_planted_people_are_found_without_false_merges(spark):
+    ats, roster, truth = planted(400, 7)
+    got = linked(spark, ats, roster)
+    assert set(got) == truth
+    assert got == linked(spark, ats[::-1], roster[::-1])
+
+
 def test_empty_people(spark):
     assert linked(spark, [], []) == {} and linked(spark, [("a", "A B", "a.b1@x.example", None, None, None)], []) == {}
 
 
 def test_name_and_mail_parts():
     assert linkage.name_tokens("Prof. Solano, Mira J. (they/them), PMP") == ["mira", "j", "solano"]
-    assert linkage.mailboxes("<a.b+x@c.example>; d (at) e.example", None, "n/a") == ["a.b", "d"]
+    assert linkage.mailboxes("<a.b+x@c.example>; d (at) e.example", None, "n/a") == ["a.b@c.example", "d@e.example"]
     assert linkage.phone_digits("+33 (555) 31 24 876 / evenings") == ["5553124876"]
     assert linkage.employer("Kite  Labs Group, Inc.") == "kite labs"
 
@@ -247,5 +318,30 @@ def test_drift(spark):
 
 def test_chance_agreement_of_flags_is_no_rename():
     said = {("remote", "shift"): (5, 5, 2), ("city", "town"): (5, 5, 5), ("city", "shift"): (5, 0, 2)}
-    assert drift.flood({"remote": {"boolean"}, "city": {"string"}}, {"shift": {"boolean"}, "town": {"string"}}, said) == [("city", "town")]
-    assert drift.flood({"phoneNumber": {"number"}}, {"phone_number": {"number"}, "x": {"number"}}, {}) == [("phoneNumber", "phone_number")]
+    S, B = {"string"}, {"boolean"}
+    assert renames({"remote": B, "city": S}, {"shift": B, "town": S}, said) == [("city", "town")]
+    assert renames({"remote": B}, {"shift": B}, {("remote", "shift"): (9, 9, 2)}) == [("remote", "shift")]
+    assert renames({"phoneNumber": {"number"}}, {"phone_number": {"number"}, "x": {"number"}}, {}) == [("phoneNumber", "phone_number")]
+
+
+def renames(gone, new, said, inner=None):
+    return drift.correspondences(drift.flood(gone, new, said, inner))
+
+
+def test_flooding_decides(monkeypatch):
+    """Names and nested fields that aren't enough by themselves are lifted by their neighbours in the graph; contents agree or don't."""
+    S, O = {"string"}, {"object"}
+    named = ({"emailAddress": S}, {"email_id": S, "noticeDays": {"number"}}, {})
+    nested = ({"address": O}, {"home": O}, {}, {"address": {"city", "zip", "street", "flat"}, "home": {"city", "street", "zip", "door"}})
+    assert renames(*named) == [("emailAddress", "email_id")] and renames(*nested) == [("address", "home")]
+    assert renames({"designation": S}, {"jobTitle": S}, {}) == [] and renames(*nested[:3]) == []
+    assert renames({"city": S}, {"town": S}, {("city", "town"): (3, 3, 3)}) == [("city", "town")]
+    assert renames({"city": S}, {"cityName": S}, {("city", "cityName"): (9, 0, 9)}) == []
+    monkeypatch.setattr(drift, "FLOW", 0.0)
+    assert renames(*named) == [] and renames(*nested) == []
+
+
+def test_flooding_that_does_not_settle_is_an_error(monkeypatch):
+    monkeypatch.setattr(drift, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="not settled"):
+        renames({"emailAddress": {"string"}}, {"email_id": {"string"}}, {})
