@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from corrobora.functions.values import value_or_null
 from corrobora.operators.layout import spread
 from corrobora.operators.packed import unpack
+from corrobora.operators.skew import lookup
+from corrobora.session import cut
 
 UNMATCHED = "unmatched"
 #: Words of degree that may stand before or after an entry without being part of it.
 DEGREES = ("advanced", "basic", "strong", "some", "good", "solid", "expert", "senior", "junior", "intermediate", "working", "beginner", "fluent", "experienced", "the")
-#: Entries a reference list may have to be sent to every executor.
+#: Entries of a reference list that are sent to every executor; longer lists are met by a shuffle.
 MOST_ENTRIES = 200_000
 _VERSION = re.compile(r"\s+v?\d+(?:\.(?:\d+|x))*$")
 _PARTS = re.compile(r"\s*[,;|]\s*|\s+[-–—/]\s+")
@@ -86,8 +88,6 @@ class Dictionary:
     """
 
     def __init__(self, aliases: dict[str, str], frequency: dict[str, int] | None = None):
-        if len(aliases) > MOST_ENTRIES:
-            raise ValueError(f"a reference list of {len(aliases)} entries is too large to send to every executor")
         self.frequency = frequency or {}
         self.exact = {folded(a): c for a, c in sorted(aliases.items())}
         self.plain: dict[str, set[str]] = {}
@@ -161,20 +161,32 @@ class Dictionary:
         return self.memo[raw]
 
 
-def reference(entries: DataFrame, alias: str, entry: str) -> dict[str, str]:
-    """alias to entry of a reference list of at most MOST_ENTRIES rows, repeated ones counted; a longer one raises an error."""
-    rows = entries.where(F.col(alias).isNotNull() & F.col(entry).isNotNull()).select(alias, entry).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"a reference list has more than {MOST_ENTRIES} rows")
-    return {r[0]: r[1] for r in rows}
+    def asked(self, raw: str, longest: int) -> set[str]:
+        """Everything under which match(raw) may look up an alias of a list of such a longest one: the bare forms of a text and
+        of its parts, and their deletions."""
+        text = folded(raw)
+        outside = _REMARK.sub(" ", text).strip()
+        texts = {*self.forms(text), *(r.strip() for r in _REMARK.findall(text)), *(p for p in _PARTS.split(outside) if p)}
+        return {d for b in map(bare, texts) if len(b) <= longest + 2 for d in deletions(b, min(2, bound(len(b) + 1)))}
+
 
+def reference(entries: DataFrame, alias: str, entry: str) -> DataFrame:
+    """(alias, entry) of a reference list: rows with both, the smallest entry of a repeated alias."""
+    e = entries.where(F.col(alias).isNotNull() & F.col(entry).isNotNull())
+    return e.groupBy(F.col(alias).alias("alias")).agg(F.min(entry).alias("entry"))
 
-def canonicalise(values: DataFrame, column: str, aliases: dict[str, str], out: str = "canonical") -> DataFrame:
-    """values with one more column: the entry meant by column, or unmatched. Null means unmatched.
 
-    Two narrow passes: the first counts, for each entry, the values that are one of its aliases; the second ranks
-    near entries by distance and these counts. The only exchange is that of one count per entry.
+def canonicalise(values: DataFrame, column: str, entries: DataFrame, out: str = "canonical") -> DataFrame:
+    """values with one more column: the entry meant by column, or unmatched. Null means unmatched. entries: as from reference().
+
+    A list of at most MOST_ENTRIES is sent to the executors, and two narrow passes do the rest: the first counts, for each
+    entry, the values that are one of its aliases; the second ranks near entries by distance and these counts. values should
+    be cheap to read twice. A longer list is met by a shuffle, with the same result.
     """
+    rows = entries.limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        return canonicalise_by_join(values, column, entries, out)
+    aliases = {r.alias: r.entry for r in rows}
     plain = Dictionary(aliases)
 
     @F.pandas_udf("string")
@@ -192,6 +204,43 @@ def canonicalise(values: DataFrame, column: str, aliases: dict[str, str], out: s
     return values.withColumn(out, matched(column))
 
 
+def canonicalise_by_join(values: DataFrame, column: str, entries: DataFrame, out: str = "canonical") -> DataFrame:
+    """canonicalise() for reference lists of any length.
+
+    Each distinct value meets, by a shuffle on deletions, the aliases that it may mean, and is matched by a dictionary of
+    these alone, which decides as the whole one would.
+    """
+
+    @F.pandas_udf("array<string>")
+    def filed(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted(deletions(b := bare(folded(a)), bound(len(b)))) for a in s], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def asked(s: pd.Series) -> pd.Series:
+        d = Dictionary({})
+        return pd.Series([sorted(d.asked(v, longest)) for v in s], dtype=object)
+
+    @F.pandas_udf("string")
+    def known(raw: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([Dictionary({x["alias"]: x["entry"] for x in n}).known(folded(v)) for v, n in zip(raw, near, strict=True)], dtype=object)
+
+    @F.pandas_udf("string")
+    def matched(raw: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series(
+            [Dictionary({x["alias"]: x["entry"] for x in n}, {x["entry"]: x["n"] for x in n}).match(v) for v, n in zip(raw, near, strict=True)], dtype=object
+        )
+
+    longest = entries.agg(F.max(F.length("alias"))).first()[0] or 0
+    distinct = cut(values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("raw")).agg(F.count(F.lit(1)).alias("times")))
+    index = entries.select("alias", "entry", F.explode(filed("alias")).alias("k"))
+    met = cut(distinct.select("raw", F.explode(asked("raw")).alias("k")).join(index, "k").select("raw", "alias", "entry").distinct())
+    own = met.groupBy("raw").agg(F.collect_list(F.struct("alias", "entry")).alias("near"))
+    sizes = own.join(distinct, "raw").select(known("raw", "near").alias("entry"), "times").where(F.col("entry").isNotNull()).groupBy("entry").agg(F.sum("times").alias("n"))
+    ranked = met.join(sizes, "entry", "left").groupBy("raw").agg(F.collect_list(F.struct("alias", "entry", F.coalesce("n", F.lit(0)).alias("n"))).alias("near"))
+    meant = cut(ranked.join(distinct, "raw").select(F.col("raw").alias(column), "times", matched("raw", "near").alias("__meant")))
+    return lookup(values, meant, [column], "times").select(*values.columns, F.coalesce("__meant", F.lit(UNMATCHED)).alias(out))
+
+
 def candidate_terms(ats: DataFrame, skills: DataFrame, countries: DataFrame, also_learn_from: DataFrame | None = None) -> DataFrame:
     """(record_id, field_name, pos, canonical): the skills of t1_ats, one row per skill, and its country.
 
@@ -201,7 +250,7 @@ def candidate_terms(ats: DataFrame, skills: DataFrame, countries: DataFrame, als
     from corrobora.operators.packed import learn_lattice
 
     texts = ats.select("skills") if also_learn_from is None else ats.select("skills").unionByName(also_learn_from.select("skills"))
-    items = unpack(ats, "skills", ["record_id"], "raw", learn_lattice(texts, "skills"))
+    items = cut(unpack(ats, "skills", ["record_id"], "raw", learn_lattice(texts, "skills")))
     s = canonicalise(items, "raw", reference(skills, "alias", "canonical")).select("record_id", F.lit("skills").alias("field_name"), "pos", "canonical")
     c = spread(ats.select("record_id", value_or_null(F.col("country")).alias("raw")).where(F.col("raw").isNotNull()))
     c = canonicalise(c, "raw", reference(countries, "alias", "country_code")).select("record_id", F.lit("country").alias("field_name"), F.lit(0).alias("pos"), "canonical")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.groups import star_components
 from corrobora.operators.layout import spread
+from corrobora.operators.packed import learn_lattice, unpack
+from corrobora.operators.skew import lookup
 from corrobora.session import cut
 
 #: The key that names the candidate of a line, by which lines of two files are compared.
@@ -297,43 +299,87 @@ TARGET = {
 }
 
 
+_NUMBER = re.compile(r"\s*([+-]?\d+(?:\.\d+)?)\s*(?:[^\W\d_]+\.?\s*)?")
+
+
+def number_of(v: object) -> float | None:
+    """A number, or a text that is one number with at most a unit behind it; None for anything else, such as a range."""
+    texts = leaves(v)
+    m = _NUMBER.fullmatch(texts[0]) if len(texts) == 1 and not isinstance(v, bool) else None
+    return float(m[1]) if m else None
+
+
+def aligned(raw: str | None, names: dict[str, str], target: dict[str, str]) -> tuple[bool, dict[str, str], dict[str, list[str]], str | None]:
+    """(readable, single values, lists, rest as JSON) of a line under the target fields.
+
+    Nothing is lost: a field that has a value already, under another of its names, and a value that its type can't hold stay in
+    rest under the key and in the form of the line. A text where a list is due stays one text, under a list of its own.
+    """
+    x = read_object(raw)
+    single: dict[str, str] = {}
+    lists: dict[str, list[str]] = {}
+    rest = {}
+    for k, v in (x or {}).items():
+        field = names.get(k, k)
+        kind, found = target.get(field), leaves(v)
+        if kind is None or not found and v is not None and v != []:
+            rest[k] = v
+        elif not found:
+            continue
+        elif field in single or field in lists:
+            rest[k] = v
+        elif kind == "array<string>":
+            if isinstance(v, str):
+                single[field] = v
+            else:
+                lists[field] = found
+        elif kind == "double":
+            n = number_of(v)
+            if n is None:
+                rest[k] = v
+            else:
+                single[field] = repr(n)
+        elif len(found) == 1:
+            single[field] = found[0]
+        else:
+            rest[k] = v
+    return x is not None, single, lists, json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None
+
+
 def consistent_table(drops: DataFrame, changes: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
-    """Every readable line once, in one schema: feed, file_name, line_no, the target fields, and other keys as JSON in rest.
+    """Every readable line once, in one schema: feed, file_name, line_no, the target fields, and all else as JSON in rest.
 
-    Renamed keys are read under their canonical key; wrapped values are unwrapped; texts such as "23 years" become
-    numbers and packed skills lists. Unreadable lines give no row; a value that can't be cast is null.
+    Renamed keys are read under their canonical key; wrapped values are unwrapped; "23 years" becomes a number, "5-7 years" doesn't;
+    packed texts become lists by the packed-field operator, whose model is learned from the whole column. Unreadable lines give
+    no row. A second value of a field and a value that can't be cast are kept in rest, see aligned().
     """
     target = target or TARGET
     names = canonical_keys(drops, changes, tuple(target))
 
-    @F.pandas_udf("struct<ok:boolean,fields:map<string,array<string>>,rest:string>")
-    def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<ok:boolean,single:map<string,string>,lists:map<string,array<string>>,rest:string>")
+    def read_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            ok, fields, rest = [], [], []
-            for raw in s:
-                x = read_object(raw)
-                known: dict[str, list[str]] = {}
-                other = {}
-                for k, v in (x or {}).items():
-                    c = names.get(k, k)
-                    if c not in target:
-                        other[k] = v
-                    elif c not in known and (f := leaves(v)):
-                        known[c] = f
-                ok.append(x is not None)
-                fields.append(known)
-                rest.append(json.dumps(other, sort_keys=True, ensure_ascii=False) if other else None)
-            yield pd.DataFrame({"ok": ok, "fields": fields, "rest": rest})
+            yield pd.DataFrame([aligned(raw, names, target) for raw in s], columns=["ok", "single", "lists", "rest"])
+
+    cols = ["feed", "file_name", "line_no"]
+    lines = cut(spread(drops.select(*cols, "raw_json").distinct()).select(*cols, read_all("raw_json").alias("x")).where("x.ok").select(*cols, "x.*"))
+    for name in (n for n, kind in target.items() if kind == "array<string>"):
+        lines = _unpacked(lines, name)
 
     def typed(name: str, kind: str) -> Column:
-        values = F.col("x.fields")[name]
         if kind == "array<string>":
-            return F.when(F.size(values) == 1, F.split(F.get(values, F.lit(0)), r"\s*,\s*")).otherwise(values).alias(name.lower())
-        text = F.array_join(values, ", ")
-        if kind == "double":
-            return F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double").alias(name.lower())
-        return text.alias(name.lower())
+            return F.col("lists")[name].alias(name.lower())
+        return F.col("single")[name].cast(kind).alias(name.lower())
 
-    cols = ["feed", "file_name", "line_no"]
-    read = spread(drops.select(*cols, "raw_json").distinct()).select(*cols, aligned("raw_json").alias("x")).where("x.ok")
-    return read.select(*cols, *[typed(n, k) for n, k in target.items()], F.col("x.rest").alias("rest")).distinct()
+    return lines.select(*cols, *[typed(n, k) for n, k in target.items()], "rest").distinct()
+
+
+def _unpacked(lines: DataFrame, name: str) -> DataFrame:
+    """lines with the packed texts of a field as lists; each distinct text is split once."""
+    rows = lines.withColumn("__text", F.col("single")[name])
+    texts = cut(rows.where(F.col("__text").isNotNull()).groupBy("__text").agg(F.count(F.lit(1)).alias("n")))
+    split = unpack(texts.withColumn("__packed", F.col("__text")), "__packed", ["__text"], "v", learn_lattice(texts, "__text"))
+    found = texts.join(split.groupBy("__text").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("a")), "__text")
+    met = lookup(rows, found.select("__text", "n", F.transform("a", lambda x: x["v"]).alias("__list")), ["__text"], "n")
+    more = F.when(F.col("__list").isNotNull(), F.map_concat("lists", F.create_map(F.lit(name), F.col("__list")))).otherwise(F.col("lists"))
+    return met.withColumn("lists", more).drop("__text", "__list")

@@ -87,10 +87,10 @@ def p6_golden(spark: SparkSession, d: str) -> DataFrame:
 P6_GOLDEN_SQL = rf"""
 WITH {_EVIDENCE_SQL},
 u AS (SELECT DISTINCT record_id, source_id, field_path, order_index, v, trust, rel, complete FROM w),
-s AS (SELECT cluster_id, field_path, regexp_replace(lower(v), '\s+', ' ', 'g') AS v,
-        sum(CAST(round(trust * rel * pow(2.0, -greatest(coalesce(date_diff('day', day, DATE '2026-08-31'), 730), 0) / 365), 6) AS DECIMAL(12,6))) AS votes
-      FROM u JOIN d ON u.record_id = d.record_id GROUP BY ALL),
-f AS (SELECT cluster_id, field_path, v FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, field_path ORDER BY votes DESC, v) AS k FROM s) WHERE k = 1)
+a AS (SELECT cluster_id, field_path, v AS written, regexp_replace(lower(v), '\s+', ' ', 'g') AS v,
+        CAST(round(trust * rel * pow(2.0, -greatest(coalesce(date_diff('day', day, DATE '2026-08-31'), 730), 0) / 365), 6) AS DECIMAL(12,6)) AS vote FROM u JOIN d ON u.record_id = d.record_id),
+s AS (SELECT cluster_id, field_path, v, sum(vote) AS votes, first(written ORDER BY vote DESC, written) AS written FROM a GROUP BY ALL),
+f AS (SELECT cluster_id, field_path, written AS v FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, field_path ORDER BY votes DESC, v) AS k FROM s) WHERE k = 1)
 SELECT cluster_id, {", ".join(f"max(v) FILTER (WHERE field_path = '{c}') AS {c}" for c in FIELDS)} FROM f GROUP BY cluster_id
 """
 

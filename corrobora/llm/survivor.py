@@ -98,7 +98,7 @@ def surviving_evidence(records: DataFrame, evidence: DataFrame, weights: DataFra
 
 
 def golden_records(records: DataFrame, evidence: DataFrame, weights: DataFrame, fields: list[str], as_of: str, half_life_days: int = 365) -> DataFrame:
-    """One built record per cluster: of every field the value with most votes, pivoted back to columns.
+    """One built record per cluster: of every field the value with most votes, as its strongest row writes it, pivoted back to columns.
 
     A row votes trust x reliability x 2^(-age / half_life_days) for its value, case and blanks aside; age counts back
     from as_of and an unreadable day has the age of two half-lives. Votes are exact decimals, so their sum doesn't
@@ -109,6 +109,7 @@ def golden_records(records: DataFrame, evidence: DataFrame, weights: DataFrame,
     age = F.greatest(F.coalesce(F.datediff(F.lit(as_of).cast("date"), "day"), F.lit(2 * half_life_days)), F.lit(0))
     vote = F.round(F.col("trust") * F.col("reliability") * F.pow(F.lit(2.0), -age / half_life_days), 6).cast("decimal(12,6)")
     norm = F.regexp_replace(F.lower("value"), r"\s+", " ")
-    sums = met.groupBy("cluster_id", "field_path", norm.alias("v")).agg(F.sum(vote).alias("votes"))
-    first = sums.groupBy("cluster_id", "field_path").agg(F.min_by("v", F.struct(-F.col("votes"), F.col("v"))).alias("v"))
+    cast = met.select("cluster_id", "field_path", norm.alias("v"), "value", vote.alias("vote"))
+    sums = cast.groupBy("cluster_id", "field_path", "v").agg(F.sum("vote").alias("votes"), F.min(F.struct((-F.col("vote")).alias("o"), "value"))["value"].alias("written"))
+    first = sums.groupBy("cluster_id", "field_path").agg(F.min(F.struct((-F.col("votes")).alias("o"), "v", "written"))["written"].alias("v"))
     return first.groupBy("cluster_id").pivot("field_path", fields).agg(F.first("v"))
