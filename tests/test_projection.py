@@ -37,17 +37,33 @@ def test_paths():
 
 def test_all_problems_come_together():
     fields = [
-        {"path": "x", "from": "nope", "type": "string"}, {"path": "a[]", "type": "string"}, {"path": "full_name", "type": "string", "normalize": "E164"}, {"path": "full_name.first", "from": "full_name", "type": "string"},
-        {"path": "n", "from": "emails", "type": "number"}, {"type": "string"}, {"path": "q", "from": "headline", "type": "text"}, {"path": "r", "from": "headline", "type": "string", "normalize": "zip"},
+        {"path": "x", "from": "shoe_size", "type": "string"}, {"path": "mails[2]", "from": "emails", "type": "string[]"}, {"path": "full_name", "type": "string", "normalize": "E164"},
+        {"path": "full_name.first", "from": "full_name", "type": "string"}, {"path": "n", "from": "emails", "type": "number", "normalize": "lower"}, {"type": "string"}, "x", {"path": "q", "from": "headline", "type": "text"},
+        {"path": "r", "from": "headline", "type": "string", "normalize": "zip"}, {"path": "a..b", "from": "headline", "type": "string"}, {"path": "full_name", "from": "headline", "type": "string"},
     ]
     with pytest.raises(ConfigError) as e:
         compile_query({"fields": fields, "on_missing": "guess"})
-    assert len(e.value.errors) == 9
-    with pytest.raises(ConfigError, match="non-empty"):
-        compile_query({"fields": []})
+    by_field = {}
+    for text in e.value.errors:
+        by_field.setdefault(text.partition(" (")[0] if text.startswith("field") and "(" in text else " ".join(text.split()[:2]), []).append(text)
+    assert {k: len(v) for k, v in by_field.items()} == {
+        "field 1": 1, "field 2": 1, "field 3": 1, "field 4": 1, "field 5": 2, "field 6": 1, "field 7": 1, "field 8": 1, "field 9": 1, "field 10": 1, "field 11": 1, "on_missing is": 1,
+    }
+    for empty in ({}, {"fields": []}, {"fields": "all"}):
+        with pytest.raises(ConfigError, match="isn't empty"):
+            compile_query(empty)
     assert len(compile_query(DEFAULT).fields) == 12 and compile_query(RECRUITER_VIEW).fields[1].required
 
 
+def test_outputs_that_overlap():
+    f = lambda *paths: {"fields": [{"path": p, "from": "headline", "type": "string"} for p in paths]}
+    assert len(compile_query(f("a.b", "a.c", "ab", "b.a")).fields) == 4
+    for paths in (("a", "a"), ("a", "a.b"), ("a.b", "a"), ("a.b.c", "x", "a.b")):
+        with pytest.raises(ConfigError) as e:
+            compile_query(f(*paths))
+        assert len(e.value.errors) == 1 and "writes where field 1" in e.value.errors[0]
+
+
 NAME = {"path": "who.name", "from": "full_name", "type": "string"}
 SECOND = {"path": "second", "from": "emails[1]", "type": "string"}
 
