@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.llm.measures import portions
 from corrobora.operators.layout import spread
 from corrobora.session import cut
 
@@ -156,10 +157,11 @@ def document_frequencies(documents: DataFrame, text: str, known: dict[str, int])
         total, n = np.zeros(len(known), dtype=np.int64), 0
         for pdf in batches:
             n += len(pdf)
-            ids, owner = numbered(list(pdf[text]), known)
-            held = ids >= 0
-            pairs = np.unique(owner[held] * len(known) + ids[held])
-            total += np.bincount(pairs % len(known), minlength=len(known)) if len(pairs) else 0
+            for part in portions(list(pdf[text])):
+                ids, owner = numbered(part, known)
+                held = ids >= 0
+                pairs = np.unique(owner[held] * len(known) + ids[held])
+                total += np.bincount(pairs % len(known), minlength=len(known)) if len(pairs) else 0
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"w": np.append(at, -1).astype("int32"), "n": np.append(total[at], n)})
 
@@ -307,9 +309,11 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             for pdf in batches:
-                hits = search(list(pdf[text]), shared.value)
-                keys = pdf[key].to_numpy(dtype=object)
-                yield pd.DataFrame([(keys[h[0]], *h[1:]) for h in hits], columns=names)
+                keys, at, rows = pdf[key].to_numpy(dtype=object), 0, []
+                for part in portions(list(pdf[text])):
+                    rows += [(keys[at + h[0]], *h[1:]) for h in search(part, shared.value)]
+                    at += len(part)
+                yield pd.DataFrame(rows, columns=names)
 
         out = out.unionByName(docs.mapInPandas(find, schema))
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -137,6 +138,21 @@ class Batch:
         return times >= most[owner]
 
 
+def portions(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
+    """The texts in portions of about so many characters, which bound the memory of a batch; a longer text is one by itself."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        n = len(t) if t else 0
+        if part and size + n > chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += n
+    if part:
+        yield part
+
+
 def document_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the distinct words of the texts, and in how many texts each is."""
     who, word = Batch(texts).words()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corrobora.llm.measures import STATISTICS, document_words, measure
+from corrobora.llm.measures import STATISTICS, document_words, measure, portions
 from corrobora.operators.layout import spread
 from corrobora.operators.skew import lookup
 from corrobora.session import cut
@@ -67,8 +67,9 @@ def common_words(documents: DataFrame, text: str = "text") -> np.ndarray:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            w, n = document_words(list(pdf[text]))
-            yield pd.DataFrame({"w": np.append(w, 0), "n": np.append(n, len(pdf)), "total": np.append(np.zeros(len(w), dtype=bool), True)})
+            for part in portions(list(pdf[text])):
+                w, n = document_words(part)
+                yield pd.DataFrame({"w": np.append(w, 0), "n": np.append(n, len(part)), "total": np.append(np.zeros(len(w), dtype=bool), True)})
 
     sums = cut(documents.select(text).mapInPandas(counted, "w bigint, n bigint, total boolean").groupBy("w", "total").agg(F.sum("n").alias("n")))
     total = sums.where("total").agg(F.max("n")).first()[0] or 0
@@ -82,7 +83,8 @@ def measured(documents: DataFrame, common: np.ndarray, key: str = "doc_id", text
     @F.pandas_udf("struct<" + ",".join(f"{n}:{'int' if n in ('n_chars', 'n_words') else 'double'}" for n in STATISTICS) + ">")
     def all_(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame(measure(list(s), common), columns=list(STATISTICS))
+            parts = [measure(part, common) for part in portions(list(s))]
+            yield pd.DataFrame({n: np.concatenate([m[n] for m in parts]) if parts else np.zeros(0) for n in STATISTICS})
 
     return documents.select(key, language(F.col(lang)).alias("lang"), all_(text).alias("m")).select(key, "lang", "m.*")
 
