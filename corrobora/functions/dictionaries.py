@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from pathlib import Path
+
 #: Null markers of real exports, compared folded and without surrounding blanks and dots.
 NULL_MARKERS = ("", "-", "--", "—", "–", "n/a", "n.a", "na", "none", "null", "nil", "tbd", "unknown", "?")
 
@@ -51,3 +55,19 @@ COUNTRY_ALIASES = {
     "poland": "PL", "il": "IL", "israel": "IL", "ae": "AE", "uae": "AE", "united arab emirates": "AE", "mx": "MX", "mexico": "MX", "kr": "KR", "korea":
     "KR", "south korea": "KR",
 }
+
+
+def checksum(table: dict) -> str:
+    """sha256 of a dictionary, whatever the order of its entries."""
+    return hashlib.sha256(json.dumps(table, sort_keys=True, ensure_ascii=False).encode("utf-8")).hexdigest()
+
+
+def load_aliases(path: str | Path, expected: str | None = None) -> dict[str, str]:
+    """Aliases from a JSON file, plain or under "aliases". expected: their checksum; other contents raise ValueError."""
+    doc = json.loads(Path(path).read_text(encoding="utf-8"))
+    aliases = doc.get("aliases", doc)
+    if not all(isinstance(v, str) for v in aliases.values()):
+        raise ValueError(f"{path}: aliases must be texts")
+    if expected is not None and checksum(aliases) != expected:
+        raise ValueError(f"{path}: contents have changed, checksum {checksum(aliases)}")
+    return aliases

@@ -66,6 +66,14 @@ class Identity:
     record_flags: DataFrame
 
 
+def refused_neighbours(who: Identity) -> DataFrame:
+    """(cluster_id, other_id, key): clusters that a refused union would have tied, from either side."""
+    home = who.members
+    pairs = who.refusals.select("key", F.explode(F.array(F.struct(F.get("records", F.lit(0)).alias("a"), F.get("records", F.lit(1)).alias("b")), F.struct(F.get("records", F.lit(1)).alias("a"), F.get("records", F.lit(0)).alias("b")))).alias("p"))
+    a = pairs.select("key", "p.*").join(home.select(F.col("record_id").alias("a"), "cluster_id"), "a")
+    return a.join(home.select(F.col("record_id").alias("b"), F.col("cluster_id").alias("other_id")), "b").select("cluster_id", "other_id", "key").distinct()
+
+
 _RESULT = "array<struct<what:string,id:string,cluster:string,keys:array<string>,records:array<string>,key:string,rank:int,other:string,reason:string>>"
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Logical operators whose output comes out of a shuffle and has its partitions already; asking for their number would run it.
-_SHUFFLED = ("Aggregate", "Join", "Repartition", "Distinct", "Deduplicate", "Window", "Sort")
 
+def spread(df: DataFrame, shuffled: bool = False, per_core: int = 2) -> DataFrame:
+    """df over at least per_core partitions a core; an input that has half of them already is left as it is.
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """df over at least per_core partitions a core; an input that has them already, or comes from a shuffle, is left as it is."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(f"{name} " in plan or f"{name}[" in plan for name in _SHUFFLED):
+    shuffled: the rows come out of a shuffle or a join, which lay them out themselves, so df is returned as it is. Otherwise
+    df should come straight from storage: asking a shuffle for its partitions would run it.
+    """
+    if shuffled:
         return df
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df if df.rdd.getNumPartitions() >= want // 2 else df.repartition(want)

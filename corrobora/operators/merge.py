@@ -311,6 +311,15 @@ def _profile(p: DataFrame) -> DataFrame:
     )
 
 
+def evidence_trace(atoms: DataFrame, members: DataFrame, most: int = 300) -> DataFrame:
+    """Every atom behind the profiles, for looking into a merge: its cluster, strength, and raw text of at most so many characters.
+
+    Off the way of a run: nothing reads it unless it is asked for.
+    """
+    a = with_strength(atoms.join(members, "record_id"))
+    return a.select("cluster_id", "field_path", "source_id", "source_type", "record_id", "order_index", "method", "value", F.substring("raw_value", 1, most).alias("raw"), "locator", "normalized", F.round("strength", 6).alias("strength"))
+
+
 def derive_as_of(atoms: DataFrame) -> tuple[dates.PartialDate | None, str]:
     """The latest month of the records' own timestamps, else of the claims about work and education; None without any.
 

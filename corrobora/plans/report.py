@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import time
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from corrobora.operators.identity import resolve
 from corrobora.operators.merge import derive_as_of, merge
 from corrobora.plans.config import Query, compile_query
 from corrobora.plans.projection import project
+from corrobora.plans.telemetry import tell_run
 from corrobora.session import cut
 from corrobora.sources.formats import Tools
 from corrobora.sources.scan import Scan, scan_folder
@@ -120,6 +122,19 @@ class Run:
         }
 
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Everything the run found, as tables."""
+        return {
+            "records": self.records, "sources": self.source_table(), "clusters": self.clusters, "refusals": self.refusals, "validation": self.validation, "unreadable": self.unreadable,
+            "unrecognized": self.scan.unrecognized,
+        }
+
+    def write_tables(self, path: str, kind: str = "parquet") -> None:
+        """All tables under a folder, written by the executors; nothing is collected."""
+        for name, df in self.tables().items():
+            df.write.mode("overwrite").format(kind).save(f"{path.rstrip('/')}/{name}")
+
+
 def run_scan(scan: Scan, query: Query, as_of: dates.PartialDate | None = None, region: str | None = None) -> Run:
     """Identity, merge and projection of scanned sources."""
     if as_of is None:
@@ -145,4 +160,7 @@ def run(spark: SparkSession, path: str, config: str | Path | dict, *, default_re
     if as_of and month is None:
         raise ValueError(f"not a month: {as_of!r}")
     tools = tools or Tools(region=default_region)
-    return run_scan(scan_folder(spark, path, tools, strict), query, month, default_region)
+    began = time.monotonic()
+    done = run_scan(scan_folder(spark, path, tools, strict), query, month, default_region)
+    tell_run(done, time.monotonic() - began)
+    return done

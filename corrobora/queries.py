@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corrobora import operator_queries
 from corrobora.functions import contacts, dictionaries, partial_dates
 from corrobora.functions.skills import SkillScanner, country_code_col
 from corrobora.functions.text import null_marker_col, unaccent_col
@@ -141,13 +142,6 @@ SELECT record_id, part, number, CAST(length(regexp_replace(number, '[^0-9]', '',
 """
 
 
-def phone_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """How many roster numbers become E.164 as they are, with a region, or not."""
-    p = phone_candidates(spark, d).select("part").withColumn("own", contacts.e164_col(F.col("part"))).withColumn("us", contacts.e164_col(F.col("part"), F.lit("US")))
-    what = F.when(F.col("own").isNotNull(), "own_country_code").when(F.col("us").isNotNull(), "with_region").when(F.col("part").startswith("+"), "invalid_number").otherwise("no_region_context")
-    return p.groupBy(what.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def url_classify(spark: SparkSession, d: str) -> DataFrame:
     """Buckets and keys of links made from record ids, at an unknown host and at the two known ones."""
     u = table(spark, d, "t1_ats").select(F.concat(F.lit("https://profiles.example/"), "record_id").alias("url"))
@@ -428,7 +422,7 @@ SELECT record_id, CAST(sum(n) AS BIGINT) AS months, CAST(round(CAST(sum(n) AS DE
 
 def partial_date_parse(spark: SparkSession, d: str) -> DataFrame:
     """First date of each free text, its rendering and month bounds; ambiguous months stay unknown."""
-    h = spread(table(spark, d, "ats_work_history").select("from_raw").where("from_raw IS NOT NULL").distinct())
+    h = table(spark, d, "ats_work_history").select("from_raw").where("from_raw IS NOT NULL").distinct()
     p = h.select("from_raw", partial_dates.parse_col(F.col("from_raw")).alias("d")).where("d IS NOT NULL")
     y, m = F.col("d.y"), F.col("d.m")
     return p.select("from_raw", partial_dates.render_col(y, m).alias("month"), partial_dates.month_index_col(y, m, "start").alias("first"), partial_dates.month_index_col(y, m, "end").alias("last"))
@@ -446,16 +440,6 @@ SELECT from_raw, CASE WHEN m IS NULL THEN printf('%04d', y) ELSE printf('%04d-%0
 """
 
 
-def as_of(spark: SparkSession, d: str) -> DataFrame:
-    """The latest month of the records' own timestamps."""
-    s = table(spark, d, "t1_ats").select(value_or_null(F.col("lastupdated")).alias("u")).where("u IS NOT NULL").distinct()
-    p = s.withColumn("d", partial_dates.parse_col(F.col("u"))).where("d IS NOT NULL")
-    return p.agg(F.max(partial_dates.month_index_col(F.col("d.y"), F.col("d.m"), "end")).alias("as_of"))
-
-
-AS_OF = "SELECT max(CAST(substr(trim(lastupdated), 1, 4) AS INT) * 12 + CAST(substr(trim(lastupdated), 6, 2) AS INT) - 1) AS as_of FROM t1_ats WHERE regexp_matches(trim(lastupdated), '^[0-9]{4}-[0-9]{2}')"
-
-
 def country_alias(spark: SparkSession, d: str) -> DataFrame:
     """Countries by a dictionary, as a literal map inside the scan's stage."""
     aliases = _aliases(table(spark, d, "country_aliases"), "country_code")
@@ -543,16 +527,6 @@ SELECT source, line, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc
 """
 
 
-def hyphen_heal(spark: SparkSession, d: str) -> DataFrame:
-    """Words cut at line ends are joined; the texts by hash."""
-    t = table(spark, d, "documents").where("text IS NOT NULL")
-    healed = F.regexp_replace("text", "([a-z])-\n([a-z])", "$1$2")
-    return t.select("doc_id", (F.length("text") - F.length(healed)).alias("n_removed"), F.md5(healed).alias("hash"))
-
-
-HYPHEN_HEAL = r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '([a-z])-\n([a-z])', '\1\2', 'g')) AS INT) AS n_removed, md5(regexp_replace(text, '([a-z])-\n([a-z])', '\1\2', 'g')) AS hash FROM documents WHERE text IS NOT NULL"
-
-
 def source_stats(spark: SparkSession, d: str) -> DataFrame:
     """Evidence and records by source."""
     return table(spark, d, "evidence").groupBy("source_id").agg(F.count(F.lit(1)).alias("evidence_emitted"), F.count_distinct("record_id").alias("records_read"))
@@ -618,18 +592,19 @@ def _projected(spark: SparkSession, d: str, config: dict) -> DataFrame:
 
 _ALL: dict[str, tuple[Query, str | None]] = {
     "p2_found": (p2_found, P2_SQL), "p3_found": (p3_found, None), "evidence_unpivot": (evidence_unpivot, EVIDENCE_UNPIVOT), "email_extract": (email_extract, EMAIL_EXTRACT),
-    "email_match_key": (email_match_key, EMAIL_MATCH_KEY), "phone_candidates": (phone_candidates, PHONE_CANDIDATES), "phone_outcomes": (phone_outcomes, None),
+    "email_match_key": (email_match_key, EMAIL_MATCH_KEY), "phone_candidates": (phone_candidates, PHONE_CANDIDATES),
     "url_classify": (url_classify, URL_CLASSIFY), "skill_scan": (skill_scan, SKILL_SCAN), "null_markers": (null_markers, NULL_MARKERS), "block_links": (block_links, BLOCK_LINKS),
     "multi_identity": (multi_identity, MULTI_IDENTITY), "connected_components": (connected_components, CONNECTED_COMPONENTS), "guarded_clusters": (guarded_clusters, None),
     "union_refusals": (union_refusals, None), "name_compatibility": (name_compatibility, NAME_COMPATIBILITY), "noisy_or": (noisy_or, NOISY_OR), "survivorship": (survivorship, SURVIVORSHIP),
     "scalar_confidence": (scalar_confidence, SCALAR_CONFIDENCE), "atomic_location": (atomic_location, ATOMIC_LOCATION), "set_ranking": (set_ranking, SET_RANKING),
     "overall_confidence": (overall_confidence, OVERALL_CONFIDENCE), "same_job_groups": (same_job_groups, SAME_JOB_GROUPS), "years_experience": (years_experience, YEARS_EXPERIENCE),
     "years_experience_all": (years_experience_all, YEARS_EXPERIENCE_ALL),
-    "partial_date_parse": (partial_date_parse, PARTIAL_DATE_PARSE), "as_of": (as_of, AS_OF), "country_alias": (country_alias, COUNTRY_ALIAS), "contested_keys": (contested_keys, CONTESTED_KEYS),
+    "partial_date_parse": (partial_date_parse, PARTIAL_DATE_PARSE), "country_alias": (country_alias, COUNTRY_ALIAS), "contested_keys": (contested_keys, CONTESTED_KEYS),
     "candidate_ids": (candidate_ids, CANDIDATE_IDS), "projection_on_missing": (projection_on_missing, PROJECTION_ON_MISSING), "json_paths": (json_paths, JSON_PATHS),
-    "repeated_lines": (repeated_lines, REPEATED_LINES), "hyphen_heal": (hyphen_heal, HYPHEN_HEAL), "source_stats": (source_stats, SOURCE_STATS),
+    "repeated_lines": (repeated_lines, REPEATED_LINES), "source_stats": (source_stats, SOURCE_STATS),
     "elements_by_source": (elements_by_source, ELEMENTS_BY_SOURCE), "first_seen": (first_seen, FIRST_SEEN), "event_hours": (event_hours, EVENT_HOURS),
     "profiles": (profiles, None), "profiles_default": (profiles_default, None),
+    **operator_queries.ALL,
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrobora.operators.layout import spread
 from corrobora.session import cut
-from corrobora.sources.formats import Tools, parse_batches
+from corrobora.sources.formats import ADAPTERS, Adapter, Tools, parse_batches
 
 ATOM = "record_id string, updated_at string, field_path string, value string, raw_value string, method string, order_index int, normalized boolean, locator string"
 _OUT = (
@@ -18,13 +18,10 @@ _OUT = (
 )
 
 
-def source_type(name: Column) -> Column:
-    """Kind of a file by its name, null if it is none; the first that fits counts."""
+def source_type(name: Column, adapters: tuple[Adapter, ...] | None = None) -> Column:
+    """Kind of a file by its name, null if no adapter claims it; the first that fits counts."""
     n = F.lower(name)
-    return (
-        F.when(n.endswith(".csv"), "recruiter_csv").when(n.rlike(r"^github_.*\.json$"), "github_json").when(n.rlike(r"^linkedin_.*\.json$"), "linkedin_json")
-        .when(n.endswith(".json"), "ats_json").when(n.endswith(".txt"), "notes_txt").when(n.rlike(r"\.(pdf|docx)$"), "resume")
-    )
+    return F.coalesce(*[F.when(n.rlike(a.names), F.lit(a.kind)) for a in adapters or ADAPTERS])
 
 
 @dataclass
@@ -48,15 +45,15 @@ def raw_files(spark: SparkSession, path: str) -> DataFrame:
     return read.unionByName(empty).withColumn("source_type", source_type(F.col("source_id")))
 
 
-def scan(files: DataFrame, tools: Tools | None = None, strict: bool = False) -> Scan:
+def scan(files: DataFrame, tools: Tools | None = None, strict: bool = False, shuffled: bool = False) -> Scan:
     """files (source_id, source_type, content) parsed where they lie, one row per file, then laid out as tables.
 
     A broken file is skipped and reported, broken rows make it partial; strict raises instead. Files of no known kind are
-    listed. Nothing depends on the order or the times of the files.
+    listed. Nothing depends on the order or the times of the files. shuffled: files come out of a shuffle or a join.
     """
     tools = tools or Tools()
     known = files.where(F.col("source_type").isNotNull()).select("source_id", "source_type", "content")
-    parsed = cut(spread(known).mapInPandas(lambda b: parse_batches(b, tools, strict), _OUT))
+    parsed = cut(spread(known, shuffled).mapInPandas(lambda b: parse_batches(b, tools, strict), _OUT))
     sources = parsed.select("source_id", "source_type", "status", "records_read", F.size("atoms").alias("evidence_emitted"), "errors")
     atoms = parsed.select("source_id", "source_type", F.explode("atoms").alias("a")).select("source_id", "source_type", "a.*")
     unreadable = parsed.select("source_id", F.explode("unreadable").alias("u")).select("source_id", "u.*")
@@ -64,4 +61,4 @@ def scan(files: DataFrame, tools: Tools | None = None, strict: bool = False) ->
 
 
 def scan_folder(spark: SparkSession, path: str, tools: Tools | None = None, strict: bool = False) -> Scan:
-    return scan(raw_files(spark, path), tools, strict)
+    return scan(raw_files(spark, path), tools, strict, shuffled=True)
