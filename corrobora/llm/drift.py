@@ -362,7 +362,7 @@ def consistent_table(drops: DataFrame, changes: DataFrame, target: dict[str, str
             yield pd.DataFrame([aligned(raw, names, target) for raw in s], columns=["ok", "single", "lists", "rest"])
 
     cols = ["feed", "file_name", "line_no"]
-    lines = cut(spread(drops.select(*cols, "raw_json").distinct()).select(*cols, read_all("raw_json").alias("x")).where("x.ok").select(*cols, "x.*"))
+    lines = cut(spread(drops.select(*cols, "raw_json").distinct(), shuffled=True).select(*cols, read_all("raw_json").alias("x")).where("x.ok").select(*cols, "x.*"))
     for name in (n for n, kind in target.items() if kind == "array<string>"):
         lines = _unpacked(lines, name)
 
