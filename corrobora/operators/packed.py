@@ -6,7 +6,9 @@ import json
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,7 +38,8 @@ EVEN, LEAST_SPLIT, MOST_SPLIT = 0.5, 0.25, 1 - 1e-6
 #: Rounds after which learning must have settled: the likelihood of the column changes by less than this share.
 ROUNDS, SETTLED = 50, 1e-5
 #: Marks that tell counts of delimiters (separating, inside a value) and the likelihood from counts of values.
-_SPLIT, _INSIDE, _LIKELY = "\x00s", "\x00i", "\x00l"
+_MARK = "\x00"
+_SPLIT, _INSIDE, _LIKELY, _ALL = f"{_MARK}s", f"{_MARK}i", f"{_MARK}l", f"{_MARK}a"
 
 
 def _closing(s: str, i: int) -> int:
@@ -191,6 +194,19 @@ def edits(a: str, b: str, most: int) -> int:
     return min(before[-1], most + 1)
 
 
+@lru_cache(maxsize=200_000)
+def near_values(text: str, values: tuple[str, ...]) -> tuple[tuple[str, int], ...]:
+    """The values that a text may be a typing of, with the edits between: more for longer values. Kept for the rounds of learning."""
+    out = []
+    letters = Counter(text)
+    for v in values if text else ():
+        most = 1 if len(v) < 9 else 2 if len(v) < 18 else 3
+        # Each edit changes at most two counts of letters, so most pairs need no look at their order.
+        if abs(len(v) - len(text)) <= most and sum(abs(n) for n in (letters - Counter(v)).values()) <= most and (d := edits(text, v, most)) <= most:
+            out.append((v, d))
+    return tuple(out)
+
+
 def _kind(delimiter: str) -> str:
     """Delimiters that are learned together: blanks around and case aside, but a slash between blanks is another than one without."""
     d = delimiter.strip().lower()
@@ -204,7 +220,8 @@ class Lattice:
         self.total = getattr(counts, "total", 0.0) or sum(counts.values()) or 1.0
         self.p = {k: math.log(n / self.total) for k, n in counts.items()}
         self.splits = dict(splits if splits is not None else getattr(counts, "splits", {}))
-        self.joined = [k for k in self.p if DELIMITER.search(k)]
+        self.joined = sorted(k for k in self.p if DELIMITER.search(k))
+        self.whole = tuple(self.joined)
         #: Pieces of the longest value with delimiters; joining more than one beyond it is never likelier than splitting.
         self.reach = max((len(DELIMITER.findall(k)) for k in self.joined), default=0) + 2
         #: Values with a strong delimiter inside.
@@ -225,10 +242,8 @@ class Lattice:
         if DELIMITER.search(k):
             first, _, rest = k.partition(" ")
             for text, extra in ((k, 0.0), (rest, UNSEEN + PER_CHAR * len(first) / 2)):
-                for j in self.joined:
-                    most = 1 if len(j) < 9 else 2 if len(j) < 18 else 3
-                    if text and (d := edits(text, j, most)) <= most:
-                        best = max(best, self.p[j] + PER_EDIT * d + extra)
+                for j, d in near_values(text, self.whole):
+                    best = max(best, self.p[j] + PER_EDIT * d + extra)
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[k] = best
@@ -274,12 +289,13 @@ class Lattice:
             ahead[b] = _plus(ahead[b], ahead[a] + w)
         for a, b, _, w in sorted(arcs, key=lambda x: -x[0]):
             behind[a] = _plus(behind[a], behind[b] + w)
-        out: dict[str, float] = {_LIKELY: ahead[n]}
+        out: dict[str, float] = {_LIKELY: ahead[n], _ALL: 0.0}
         for a, b, value, w in arcs:
             share = math.exp(ahead[a] + w + behind[b] - ahead[n])
             v = cleaned(value)
             if share > 1e-4 and v is not None:
                 out[value_key(v)] = out.get(value_key(v), 0.0) + share
+                out[_ALL] += share
         for i, d in enumerate(pieces[1::2], 1):
             apart = math.exp(ahead[i] + behind[i] - ahead[n])
             out[_SPLIT + _kind(d)] = out.get(_SPLIT + _kind(d), 0.0) + apart
@@ -387,26 +403,32 @@ def learn_lattice(texts: DataFrame, column: str) -> Model:
 
         return cut(distinct.select("n", F.explode(lexed(column)).alias("x")).groupBy("x.k", "x.open").agg(F.sum("n").alias("n")))
 
-    def model(counts: DataFrame, splits: dict[str, float]) -> Model:
-        counts = cut(counts)
-        total, n = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-        least = max((total or 0) * MIN_SHARE, 0.5)
-        out = Model({r.k: float(r.n) for r in counts.where(F.col("n") >= least).collect()})
-        out.total, out.splits, out.rare = float(total or 0), splits, counts.where((F.col("n") < least) & (F.col("n") >= 0.5)) if n > len(out) else None
-        return out
+    def model(counts: DataFrame, total: float, splits: dict[str, float]) -> tuple[Model, dict[str, float]]:
+        """The model of counts (k, n), and the marks among them, by one collection of bounded size."""
+        least = max(total * MIN_SHARE, 0.5)
+        rows = {r.k: r.n for r in counts.where((F.col("n") >= least) | F.col("k").startswith(_MARK)).collect()}
+        marks = {k: n for k, n in rows.items() if k.startswith(_MARK)}
+        out = Model({k: n for k, n in rows.items() if k not in marks})
+        out.total, out.splits = total, splits
+        out.rare = counts.where((F.col("n") < least) & (F.col("n") >= 0.5) & ~F.col("k").startswith(_MARK)) if least > 0.5 else None
+        return out, marks
+
+    def counted(parts: DataFrame) -> tuple[DataFrame, float]:
+        fixed = parts.where(~F.col("open")).select("k", F.col("n").cast("double").alias("n"))
+        return fixed, float(fixed.agg(F.sum("n")).first()[0] or 0)
 
     distinct = texts.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     parts = parts_of(frozenset())
-    fixed = parts.where(~F.col("open")).select("k", F.col("n").cast("double").alias("n"))
-    found = model(fixed, {})
+    fixed, certain = counted(parts)
+    found, _ = model(fixed, certain, {})
     if kept := Lattice(found).kept:
         parts = parts_of(kept)
-        fixed = parts.where(~F.col("open")).select("k", F.col("n").cast("double").alias("n"))
-        found = model(fixed, {})
+        fixed, certain = counted(parts)
+        found, _ = model(fixed, certain, {})
     ambiguous = parts.where("open").select("k", "n")
     pieces = None
     nothing = F.lit(None).cast("array<string>").alias("ks"), F.lit(None).cast("array<double>").alias("ns")
-    before = -math.inf
+    before = total = last = None
     for _ in range(ROUNDS):
         if found.rare is None:
             asked = ambiguous.select("*", *nothing)
@@ -415,17 +437,17 @@ def learn_lattice(texts: DataFrame, column: str) -> Model:
             asked = ambiguous.join(_rare_pieces(pieces, "chunk", found.rare).withColumnRenamed("chunk", "k"), "k", "left")
         shares = asked.select(F.explode(_expectations(Lattice(found))("k", "n", "ks", "ns")).alias("x"))
         again = cut(shares.groupBy("x.k").agg(F.sum("x.n").alias("n")))
-        marks = {r.k: r.n for r in again.where(F.col("k").startswith("\x00")).collect()}
-        likely = marks.pop(_LIKELY, 0.0)
-        if before != -math.inf and abs(likely - before) <= SETTLED * max(abs(before), 1.0):
-            return found
-        before = likely
-        splits = {}
+        both = fixed.unionByName(again).groupBy("k").agg(F.sum("n").alias("n"))
+        found, marks = model(both, certain if total is None else total, {})
+        if not marks or before is not None and abs(marks[_LIKELY] - before) <= SETTLED * max(abs(before), 1.0):
+            return found if last is None else last
+        before, total = marks[_LIKELY], certain + marks[_ALL]
+        found.total = total
         for k, n in marks.items():
             if k.startswith(_SPLIT):
                 d = k[len(_SPLIT) :]
-                splits[d] = min(max((n + EVEN) / (n + marks.get(_INSIDE + d, 0.0) + 1), LEAST_SPLIT), MOST_SPLIT)
-        found = model(fixed.unionByName(again.where(~F.col("k").startswith("\x00")).select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")), splits)
+                found.splits[d] = min(max((n + EVEN) / (n + marks.get(_INSIDE + d, 0.0) + 1), LEAST_SPLIT), MOST_SPLIT)
+        last = found
     raise RuntimeError(f"value frequencies not settled after {ROUNDS} rounds")
 
 
