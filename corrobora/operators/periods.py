@@ -106,14 +106,16 @@ def periods_and_gaps(periods: DataFrame, key: str = "record_id") -> DataFrame:
     return parts.select(key, "x.kind", yyyymm(F.col("x.a")).alias("first_month"), yyyymm(F.col("x.b")).alias("last_month"))
 
 
-def posts_of(linkedin: DataFrame, history: DataFrame) -> DataFrame:
-    """The posts of both tables in one shape: record_id, sy, sm, ey, em, current."""
+def posts_of(linkedin: DataFrame, history: DataFrame, company: bool = False) -> DataFrame:
+    """The posts of both tables in one shape: record_id, sy, sm, ey, em, current, and on demand the company."""
+    at = lambda c: [F.col(c).alias("company")] if company else []
+    kept = ["company"] if company else []
     a = linkedin.select(
-        "record_id", F.col("start_year").alias("sy"), F.col("start_month").alias("sm"), F.col("end_year").alias("ey"), F.col("end_month").alias("em"),
+        "record_id", *at("companyname"), F.col("start_year").alias("sy"), F.col("start_month").alias("sm"), F.col("end_year").alias("ey"), F.col("end_month").alias("em"),
         F.coalesce("iscurrent", F.lit(False)).alias("current"),
     )
     current = F.coalesce(F.lower(strip(F.col("to_raw"))).isin(*CURRENT_WORDS), F.lit(False)).alias("current")
-    b = history.select("record_id", "to_raw", parse_month(F.col("from_raw"), "s")).select("record_id", "sy", "sm", current, parse_month(F.col("to_raw"), "e"))
+    b = history.select("record_id", *at("org"), "to_raw", parse_month(F.col("from_raw"), "s")).select("record_id", *kept, "sy", "sm", current, parse_month(F.col("to_raw"), "e"))
     return a.unionByName(b)
 
 

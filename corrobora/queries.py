@@ -367,22 +367,27 @@ SELECT cluster_id, round(coalesce(sum(wt * c), 0) / 17.0, 4) AS overall FROM f L
 
 
 def same_job_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping posts at one company as one; islands equal the closure of pairwise overlap for valid ranges."""
-    p = table(spark, d, "linkedin_positions").withColumn("co", value_or_null(F.col("companyname"))).where("co IS NOT NULL AND record_id IS NOT NULL")
-    p = p.select(F.concat_ws("|", "record_id", unaccent_col(F.col("co"))).alias("record_id"), F.col("start_year").alias("sy"), F.col("start_month").alias("sm"), F.col("end_year").alias("ey"), F.col("end_month").alias("em"), F.coalesce("iscurrent", F.lit(False)).alias("current"))
+    """Overlapping posts at one company as one, over both tables of posts; islands equal the closure of pairwise overlap for valid ranges."""
+    p = posts_of(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history"), company=True)
+    p = p.withColumn("co", value_or_null(F.col("company"))).where("co IS NOT NULL AND record_id IS NOT NULL")
+    p = p.withColumn("record_id", F.concat_ws("|", "record_id", unaccent_col(F.col("co"))))
     # Touching ranges are two posts here, so ends are pulled in by a month's half: months are doubled.
     m = post_months(p, 2026 * 12 + 7).select("record_id", (F.col("s") * 2).alias("s"), (F.col("e") * 2).alias("e"))
     g = merge_periods(m)
     return g.select(F.split_part("record_id", F.lit("|"), F.lit(1)).alias("record_id"), F.split_part("record_id", F.lit("|"), F.lit(2)).alias("company"), (F.col("s") / 2).cast("int").alias("s"), (F.col("e") / 2).cast("int").alias("e"))
 
 
-_POSTS_SQL = """
-n AS (SELECT record_id, lower(strip_accents(trim(companyname))) AS company, start_year * 12 + CASE WHEN start_month BETWEEN 1 AND 12 THEN start_month ELSE 1 END - 1 AS s,
-    CASE WHEN end_year IS NOT NULL THEN end_year * 12 + CASE WHEN end_month BETWEEN 1 AND 12 THEN end_month ELSE 12 END - 1 WHEN iscurrent THEN 2026 * 12 + 7 END AS e FROM linkedin_positions),
-k AS (SELECT DISTINCT record_id, company, s, least(e, 2026 * 12 + 7) AS e FROM n WHERE s IS NOT NULL AND e IS NOT NULL AND e >= s AND s <= 2026 * 12 + 7 AND record_id IS NOT NULL)
-"""
+#: The posts of both tables with their company, as P2_SQL reads them.
+_POSTS_SQL = (
+    P2_SQL.partition(",\nn AS (")[0].replace("SELECT record_id, lower(trim(from_raw))", "SELECT record_id, org, lower(trim(from_raw))")
+    .replace("SELECT record_id, start_year AS sy", "SELECT record_id, companyname AS co, start_year AS sy").replace("SELECT record_id, a.y_any", "SELECT record_id, org, a.y_any")
+)
 SAME_JOB_GROUPS = f"""
-WITH {_POSTS_SQL}, c AS (SELECT * FROM k WHERE company NOT IN ('','n/a','-','—','none','null','unknown')),
+{_POSTS_SQL},
+n AS (SELECT record_id, lower(strip_accents(trim(co))) AS company, sy * 12 + CASE WHEN sm BETWEEN 1 AND 12 THEN sm ELSE 1 END - 1 AS s,
+    CASE WHEN ey IS NOT NULL THEN ey * 12 + CASE WHEN em BETWEEN 1 AND 12 THEN em ELSE 12 END - 1 WHEN cur THEN 2026 * 12 + 7 END AS e FROM posts),
+k AS (SELECT DISTINCT record_id, company, s, least(e, 2026 * 12 + 7) AS e FROM n WHERE s IS NOT NULL AND e IS NOT NULL AND e >= s AND s <= 2026 * 12 + 7 AND record_id IS NOT NULL),
+c AS (SELECT * FROM k WHERE company NOT IN ('','n/a','-','—','none','null','unknown')),
 w AS (SELECT *, max(e) OVER (PARTITION BY record_id, company ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c),
 i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY record_id, company ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM w)
 SELECT record_id, company, CAST(min(s) AS INT) AS s, CAST(max(e) AS INT) AS e FROM i GROUP BY record_id, company, g
@@ -390,32 +395,14 @@ SELECT record_id, company, CAST(min(s) AS INT) AS s, CAST(max(e) AS INT) AS e FR
 
 
 def years_experience(spark: SparkSession, d: str) -> DataFrame:
-    """Years of the union of a record's months in linkedin_positions alone, as its SQL has it, half up to one decimal."""
-    return _years(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history").limit(0))
-
-
-def years_experience_all(spark: SparkSession, d: str) -> DataFrame:
     """Years of the union of a record's months in both tables of posts, half up to one decimal."""
-    return _years(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history"))
-
-
-def _years(linkedin: DataFrame, history: DataFrame) -> DataFrame:
-    posts = post_months(posts_of(linkedin, history), 2026 * 12 + 7)
+    posts = post_months(posts_of(table(spark, d, "linkedin_positions"), table(spark, d, "ats_work_history")), 2026 * 12 + 7)
     g = merge_periods(posts).groupBy("record_id").agg(F.sum(F.col("e") - F.col("s") + 1).alias("months"))
     return g.select("record_id", F.col("months").cast("bigint").alias("months"), F.round(F.col("months").cast("decimal(12,4)") / 12, 1).cast("double").alias("years"))
 
 
 YEARS_EXPERIENCE = f"""
-WITH {_POSTS_SQL}, q AS (SELECT DISTINCT record_id, s, e FROM k),
-w AS (SELECT *, max(e) OVER (PARTITION BY record_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q),
-i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM w),
-p AS (SELECT record_id, max(e) - min(s) + 1 AS n FROM i GROUP BY record_id, g)
-SELECT record_id, CAST(sum(n) AS BIGINT) AS months, CAST(round(CAST(sum(n) AS DECIMAL(12,4)) / CAST(12 AS DECIMAL(12,4)), 1) AS DOUBLE) AS years FROM p GROUP BY record_id
-"""
-
-_MONTHS_SQL = P2_SQL.partition(",\np AS (")[0]
-YEARS_EXPERIENCE_ALL = f"""
-{_MONTHS_SQL}, p AS (SELECT record_id, max(e) - min(s) + 1 AS n FROM i GROUP BY record_id, g)
+{P2_SQL.partition(",\np AS (")[0]}, p AS (SELECT record_id, max(e) - min(s) + 1 AS n FROM i GROUP BY record_id, g)
 SELECT record_id, CAST(sum(n) AS BIGINT) AS months, CAST(round(CAST(sum(n) AS DECIMAL(12,4)) / CAST(12 AS DECIMAL(12,4)), 1) AS DOUBLE) AS years FROM p GROUP BY record_id
 """
 
@@ -598,7 +585,6 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "union_refusals": (union_refusals, None), "name_compatibility": (name_compatibility, NAME_COMPATIBILITY), "noisy_or": (noisy_or, NOISY_OR), "survivorship": (survivorship, SURVIVORSHIP),
     "scalar_confidence": (scalar_confidence, SCALAR_CONFIDENCE), "atomic_location": (atomic_location, ATOMIC_LOCATION), "set_ranking": (set_ranking, SET_RANKING),
     "overall_confidence": (overall_confidence, OVERALL_CONFIDENCE), "same_job_groups": (same_job_groups, SAME_JOB_GROUPS), "years_experience": (years_experience, YEARS_EXPERIENCE),
-    "years_experience_all": (years_experience_all, YEARS_EXPERIENCE_ALL),
     "partial_date_parse": (partial_date_parse, PARTIAL_DATE_PARSE), "country_alias": (country_alias, COUNTRY_ALIAS), "contested_keys": (contested_keys, CONTESTED_KEYS),
     "candidate_ids": (candidate_ids, CANDIDATE_IDS), "projection_on_missing": (projection_on_missing, PROJECTION_ON_MISSING), "json_paths": (json_paths, JSON_PATHS),
     "repeated_lines": (repeated_lines, REPEATED_LINES), "source_stats": (source_stats, SOURCE_STATS),
