@@ -232,9 +232,10 @@ def _folded(c: str) -> str:
 
 _SAME = "len(list_filter(t, lambda p: len(list_filter(u, lambda q: p = q OR (length(p) = 1 AND starts_with(q, p)) OR (length(q) = 1 AND starts_with(p, q)))) > 0)) > 0"
 _CONTRA = f"len(list_filter(x.n, lambda t: len(list_filter(y.n, lambda u: NOT (len(t) = 0 OR len(u) = 0 OR {_SAME}))) > 0)) > 0"
-_RESOLVE = rf"""
+_EVIDENCE = rf"""
 e AS (SELECT record_id, field_path, regexp_replace(lower(trim(source_type)), '[\s_-]+', '_', 'g') AS st, {_stripped("value_text")} AS v, order_index, method FROM evidence
-  WHERE lower({_stripped("value_text")}) NOT IN ('', 'n/a', '-', '—', 'none', 'null', 'unknown')),
+  WHERE lower({_stripped("value_text")}) NOT IN ('', 'n/a', '-', '—', 'none', 'null', 'unknown'))"""
+_RESOLVE = rf"""
 f AS (SELECT DISTINCT record_id, st, field_path, CASE WHEN field_path = 'emails' THEN 'email' ELSE 'phone' END AS kind,
   CASE WHEN field_path <> 'emails' THEN v WHEN regexp_replace(lower(v), '^[^@]*@', '') IN ('gmail.com', 'googlemail.com') THEN replace(split_part(split_part(lower(v), '@', 1), '+', 1), '.', '') || '@gmail.com'
     ELSE split_part(split_part(lower(v), '@', 1), '+', 1) || '@' || regexp_replace(lower(v), '^[^@]*@', '') END AS key FROM e WHERE field_path IN ('emails', 'phones')),
@@ -260,15 +261,49 @@ step(comp, k, st, a, b, label, ok) AS (
       FROM step s JOIN seq ON seq.comp = s.comp AND seq.k = s.k + 1))),
 final AS (SELECT x.r AS record_id, x.c AS cluster FROM (SELECT unnest(st) AS x FROM step JOIN (SELECT comp, max(k) AS k FROM step GROUP BY comp) USING (comp, k)))
 """
-RESOLVED_CLUSTERS = f"""
-WITH RECURSIVE {_RESOLVE},
+
+
+def _clusters_sql(evidence: str, sep: str) -> str:
+    return f"""
+WITH RECURSIVE {evidence}, {_RESOLVE},
 m AS (SELECT record_id, coalesce(cluster, record_id) AS cluster_id FROM (SELECT DISTINCT record_id FROM e) LEFT JOIN final USING (record_id)),
-used AS (SELECT cluster AS cluster_id, string_agg(DISTINCT label, ' ' ORDER BY label) AS keys, bool_or(starts_with(label, 'soft:')) AS soft FROM step JOIN final ON final.record_id = step.a WHERE step.k > 0 AND ok AND a <> b GROUP BY cluster)
+used AS (SELECT cluster AS cluster_id, string_agg(DISTINCT label, '{sep}' ORDER BY label) AS keys, bool_or(starts_with(label, 'soft:')) AS soft FROM step JOIN final ON final.record_id = step.a WHERE step.k > 0 AND ok AND a <> b GROUP BY cluster)
 SELECT cluster_id, CAST(count(*) AS INT) AS n_records, coalesce(max(keys), '') AS keys,
-  array_to_string(list_filter([CASE WHEN bool_or(m.record_id IN (SELECT record_id FROM many)) THEN 'multi_identity_source' END, CASE WHEN count(*) > 1 AND coalesce(bool_or(soft), false) THEN 'soft_key_merge' END], lambda f: f IS NOT NULL), ' ') AS flags
+  array_to_string(list_filter([CASE WHEN bool_or(m.record_id IN (SELECT record_id FROM many)) THEN 'multi_identity_source' END, CASE WHEN count(*) > 1 AND coalesce(bool_or(soft), false) THEN 'soft_key_merge' END], lambda f: f IS NOT NULL), '{sep}') AS flags
 FROM m LEFT JOIN used USING (cluster_id) GROUP BY cluster_id
 """
-RESOLVED_REFUSALS = f"WITH RECURSIVE {_RESOLVE} SELECT least(a, b) || ' ' || greatest(a, b) AS records, label AS key, 'suspect_shared_identifier' AS reason FROM step WHERE k > 0 AND NOT ok"
+
+
+def _refusals_sql(evidence: str) -> str:
+    return f"WITH RECURSIVE {evidence}, {_RESOLVE} SELECT least(a, b) || ' ' || greatest(a, b) AS records, label AS key, 'suspect_shared_identifier' AS reason FROM step WHERE k > 0 AND NOT ok"
+
+
+RESOLVED_CLUSTERS, RESOLVED_REFUSALS = _clusters_sql(_EVIDENCE, " "), _refusals_sql(_EVIDENCE)
+
+
+def _value(c: str) -> str:
+    return f"CASE WHEN lower({_stripped(c)}) NOT IN ('', 'n/a', '-', '—', 'none', 'null', 'unknown') THEN {_stripped(c)} END"
+
+
+#: The evidence of t1_ats and t1_roster rows, with numbers by their plans; field "other" stands for all that ties nobody.
+PEOPLE_EVIDENCE = rf"""
+plans AS (SELECT * FROM (VALUES {_PLANS}) v(code, trunk, re)),
+a AS (SELECT record_id, {", ".join(f"{_value(c)} AS {c}" for c in ("candidatename", "emailaddress", "email_id", "phonenumber", "currentemployer", "designation", "skills", "city", "region", "country"))}, totalyearsexperience AS years FROM t1_ats),
+o AS (SELECT record_id, {", ".join(f"{_value(c)} AS {c}" for c in ("name", "email", "phone", "current_company", "title"))} FROM t1_roster),
+mails AS (SELECT record_id, {_mail("x")} AS v FROM (SELECT record_id, unnest([emailaddress, email_id]) AS x FROM a UNION ALL SELECT record_id, unnest(regexp_split_to_array(email, '(?:[;,]|{_B})+')) FROM o WHERE email IS NOT NULL)),
+parts AS (SELECT record_id, trim(unnest(regexp_split_to_array(x, '[/;,]|\band\b'))) AS part FROM (SELECT record_id, phonenumber AS x FROM a UNION ALL SELECT record_id, phone FROM o) WHERE x IS NOT NULL),
+digits AS (SELECT record_id, s, CASE WHEN NOT regexp_matches(s, '[A-Za-z]') THEN regexp_replace(s, '[^0-9]', '', 'g') END AS g FROM
+  (SELECT record_id, trim(regexp_replace(part, '(?i)\s*(?:ext\.?|extension|x)\s*\d+\s*$', '')) AS s FROM parts WHERE regexp_matches(part, '[0-9]'))),
+coded AS (SELECT *, (SELECT max(code) FROM plans WHERE starts_with(g, code) AND length(code) = (SELECT max(length(code)) FROM plans WHERE starts_with(g, code))) AS code FROM digits WHERE starts_with(s, '+')),
+numbers AS (SELECT record_id, {_e164_sql("coded.code", "substr(coded.g, length(coded.code) + 1)")} AS v FROM coded),
+e AS (SELECT record_id, field_path, 'table' AS st, v, 0 AS order_index, '' AS method FROM (
+  SELECT record_id, 'full_name' AS field_path, candidatename AS v FROM a UNION ALL SELECT record_id, 'full_name', name FROM o
+  UNION ALL SELECT record_id, 'emails', v FROM mails UNION ALL SELECT record_id, 'phones', v FROM numbers
+  UNION ALL SELECT record_id, 'current_company', currentemployer FROM a UNION ALL SELECT record_id, 'current_company', current_company FROM o
+  UNION ALL SELECT record_id, 'other', 'x' FROM digits UNION ALL SELECT record_id, 'other', title FROM o UNION ALL SELECT record_id, 'other', coalesce(designation, city, region, CAST(years AS VARCHAR), nullif(trim(skills, ',;| []"'), '')) FROM a
+  UNION ALL SELECT record_id, 'other', code FROM a JOIN {_values(dictionaries.COUNTRY_ALIASES, "k(alias, code)")} ON alias = trim(lower(country), ' .')) WHERE v IS NOT NULL)
+"""
+GUARDED_CLUSTERS, UNION_REFUSALS = _clusters_sql(PEOPLE_EVIDENCE, ","), _refusals_sql(PEOPLE_EVIDENCE)
 
 
 def merged_fields(spark: SparkSession, d: str) -> DataFrame:

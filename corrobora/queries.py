@@ -581,8 +581,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "p2_found": (p2_found, P2_SQL), "p3_found": (p3_found, None), "evidence_unpivot": (evidence_unpivot, EVIDENCE_UNPIVOT), "email_extract": (email_extract, EMAIL_EXTRACT),
     "email_match_key": (email_match_key, EMAIL_MATCH_KEY), "phone_candidates": (phone_candidates, PHONE_CANDIDATES),
     "url_classify": (url_classify, URL_CLASSIFY), "skill_scan": (skill_scan, SKILL_SCAN), "null_markers": (null_markers, NULL_MARKERS), "block_links": (block_links, BLOCK_LINKS),
-    "multi_identity": (multi_identity, MULTI_IDENTITY), "connected_components": (connected_components, CONNECTED_COMPONENTS), "guarded_clusters": (guarded_clusters, None),
-    "union_refusals": (union_refusals, None), "name_compatibility": (name_compatibility, NAME_COMPATIBILITY), "noisy_or": (noisy_or, NOISY_OR), "survivorship": (survivorship, SURVIVORSHIP),
+    "multi_identity": (multi_identity, MULTI_IDENTITY), "connected_components": (connected_components, CONNECTED_COMPONENTS), "guarded_clusters": (guarded_clusters, operator_queries.GUARDED_CLUSTERS),
+    "union_refusals": (union_refusals, operator_queries.UNION_REFUSALS), "name_compatibility": (name_compatibility, NAME_COMPATIBILITY), "noisy_or": (noisy_or, NOISY_OR), "survivorship": (survivorship, SURVIVORSHIP),
     "scalar_confidence": (scalar_confidence, SCALAR_CONFIDENCE), "atomic_location": (atomic_location, ATOMIC_LOCATION), "set_ranking": (set_ranking, SET_RANKING),
     "overall_confidence": (overall_confidence, OVERALL_CONFIDENCE), "same_job_groups": (same_job_groups, SAME_JOB_GROUPS), "years_experience": (years_experience, YEARS_EXPERIENCE),
     "partial_date_parse": (partial_date_parse, PARTIAL_DATE_PARSE), "country_alias": (country_alias, COUNTRY_ALIAS), "contested_keys": (contested_keys, CONTESTED_KEYS),
