@@ -222,7 +222,10 @@ def test_groups_small(spark):
     assert grouped(spark, []) == {}
 
 
-def test_groups_chain_and_hub_against_union_find(spark):
+@pytest.mark.parametrize("gather", [100_000, 40])
+def test_groups_chain_and_hub_against_union_find(spark, monkeypatch, gather):
+    """gather 40: the hub's neighbours are more than a task may sort, so hot vertices travel as a broadcast."""
+    monkeypatch.setattr(groups, "GATHER", gather)
     rnd = random.Random(1)
     chain = [(f"c{i:03d}", f"c{i + 1:03d}", "merged") for i in range(120)]
     hub = [("hub", f"h{i:04d}", "merged") for i in range(1200)]
