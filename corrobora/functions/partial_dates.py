@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 PartialDate = tuple[int, int | None]
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-#: The shapes of a date in the order in which they are tried at each place of a text.
+#: Fixed patterns: the shapes of a date in the order in which they are tried at each place of a text.
 _SHAPES = (
     ("present", r"\b(?:present|current|ongoing|now|till date)\b"),
     ("ymd", r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"),
